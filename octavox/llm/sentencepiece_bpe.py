@@ -22,7 +22,9 @@ from .common import ragged, string_array
 MARK = "▁"
 #: Runs kept per Python worker before the memory of runs is emptied, symbols up to which a run is a row of an array,
 #: characters that are cut into runs at a time, and one in how many new runs is checked against the library.
-KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE = 1_000_000, 40, 2_000_000, 8
+KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE = 600_000, 40, 1_000_000, 8
+#: Ids that are decoded at a time.
+DECODED_IDS = 1_000_000
 _KNOWN_BITS, _FACTOR = 22, 0xC2B2AE3D27D4EB4F
 _UNKNOWN = 1 << 15  # ids from here on are characters that the vocabulary lacks
 _models: dict[str, "Model"] = {}
@@ -335,10 +337,10 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     def batches(it):
         m = model(path)
         for rb in it:
-            texts = [t or "" for t in rb.column("text").to_pylist()]
-            for begin in range(0, len(texts), 2048):
-                ids, offsets = m.encode(texts[begin : begin + 2048])
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, 2048), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+            for begin in range(0, rb.num_rows, 512):
+                texts = [t or "" for t in rb.column("text").slice(begin, 512).to_pylist()]
+                ids, offsets = m.encode(texts)
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, 512), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>")
 
@@ -349,17 +351,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def batches(it):
         m = model(path)
         for rb in it:
-            column = rb.column("ids")
+            column, begin = rb.column("ids"), 0
             offsets = column.offsets.to_numpy().astype(np.int64)
             ids = column.values.to_numpy(zero_copy_only=False)
-            data, ends = m.decode(ids[offsets[0] : offsets[-1]], offsets - offsets[0])
-            text = string_array(data, ends)
-            try:
-                text.validate(full=True)
-                text = text.cast(pa.string())
-            except pa.ArrowInvalid:  # byte ids that make no UTF-8
-                text = pa.array([m.library.decode(x or []) for x in column.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), column, text], ["doc_id", "ids", "decoded"])
+            while begin < len(column):
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + DECODED_IDS, "right")) - 1)
+                data, ends = m.decode(ids[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+                part, text = column.slice(begin, end - begin), string_array(data, ends)
+                try:
+                    text.validate(full=True)
+                    text = text.cast(pa.string())
+                except pa.ArrowInvalid:  # byte ids that make no UTF-8
+                    text = pa.array([m.library.decode(x or []) for x in part.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, end - begin), part, text], ["doc_id", "ids", "decoded"])
+                begin = end
 
     return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
 
