@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 #: Dimensions of a subspace, centroids of one (four bits), rows the codebooks are fitted on at most.
 SUBSPACE, CENTROIDS, FIT_ROWS = 2, 16, 10_000
 #: Weight of the residual along the vector against the residual across it.
@@ -166,6 +168,8 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
             found.append(rerank(ids, x, scan(codes, q, books), part["query_id"].to_numpy(), q, top, depth))
         return pd.concat(found)
 
+    parts = partitions(vectors.sparkSession)
+    coded, queries = coded.repartition(parts, "turn", "block"), queries.repartition(parts, "turn", "block")
     found = coded.groupBy("turn", "block").cogroup(queries.groupBy("turn", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

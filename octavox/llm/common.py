@@ -33,6 +33,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions for work whose cost a partition's bytes do not show, so that they are not merged."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def materialise(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import dimension_of, matrix, valid
-from .common import connected_components, materialise
+from .common import connected_components, materialise, partitions
 
 #: Different vectors of a tile at most (on average); a group compares two tiles.
 TILE = 1024
@@ -101,6 +101,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
         some = links > 0
         return pd.DataFrame({"rep": ids[some], "links": links[some], "low": ids[root[some]]})
 
+    placed = placed.repartition(partitions(placed.sparkSession), "label", "a", "b")
     found = materialise(placed.groupBy("label", "a", "b").applyInPandas(compare, "rep long, links long, low long"))
     components = connected_components(found.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
