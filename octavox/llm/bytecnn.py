@@ -15,6 +15,8 @@ import numpy as np
 
 SYMBOLS, WIDTHS, TAIL, SPAN = 96, (2, 3, 4), 4, 32
 PIECE = 96
+#: Steps of training at least, so that small samples are learned too.
+LEAST_STEPS = 400
 _SLOTS = 15
 _slots: dict[int, np.ndarray] = {}
 
@@ -135,7 +137,11 @@ def train(raw: np.ndarray, there: np.ndarray, labels: np.ndarray, classes: list,
     counted = np.concatenate([repeat_counts(raw[i : i + PIECE], there[i : i + PIECE], size) for i in range(0, len(raw), PIECE)]) if repeats and len(raw) else None
     params = [*net.taps, net.bias, net.repeat, net.out, net.out_bias]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    turn, steps = 0, max(1, epochs * -(-len(raw) // batch))
+    a_round = max(1, -(-len(raw) // batch))
+    epochs = max(epochs, -(-LEAST_STEPS // a_round))
+    turn, steps = 0, epochs * a_round
+    count = np.bincount(labels, minlength=len(classes))
+    share = len(labels) / (len(classes) * np.maximum(count, 1))  # classes weigh alike
     for _ in range(epochs):
         order = rng.permutation(len(raw))
         for i in range(0, len(raw), batch):
@@ -145,7 +151,7 @@ def train(raw: np.ndarray, there: np.ndarray, labels: np.ndarray, classes: list,
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(take)), labels[take]] -= 1
-            p /= len(take)
+            p *= (share[labels[take]] / len(take))[:, None]
             back = (p @ net.out.T) * (top > 0)
             rows = np.arange(len(take))[:, None]
             grads = []
