@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; the rows here hold a few numbers each.
 BROADCAST_ROWS = 200_000
+#: Rows of ids that one partition of a counted frame holds.
+LINKS_A_PARTITION = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +46,18 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def counted(frame: DataFrame) -> tuple[DataFrame, int]:
+    """The materialised frame, read in partitions that suit its rows, and their number.
+
+    Tables of links and components have a few longs a row. In as many partitions as the joins that made them, and
+    their unions, most files of the shuffles that follow would be nearly empty. Rows are counted while they are written.
+    """
+    seen = Observation()
+    kept = materialise(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return kept.coalesce(max(2 * frame.sparkSession.sparkContext.defaultParallelism, -(-n // LINKS_A_PARTITION))), n
+
+
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted rows are within the bound; otherwise the join shuffles."""
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
@@ -94,14 +108,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     `edges` has longs src and dst. Work is a join and a pre-aggregated minimum a round; a node with very many
     edges is the skewed side of a join whose other side has one row a key, which adaptive execution splits.
     """
-    both = materialise(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    labels = materialise(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")))
+    both, _ = counted(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    labels, _ = counted(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("low"))
         lower = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
-        lower = materialise(lower)
+        lower, _ = counted(lower)
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = materialise(lower.join(jump, "component").select("node", "was", F.col("root").alias("component")))
+        labels, _ = counted(lower.join(jump, "component").select("node", "was", F.col("root").alias("component")))
         if labels.where("component < was").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
