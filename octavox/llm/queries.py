@@ -20,7 +20,7 @@ def vocabulary() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_bpe.digests(sentencepiece_bpe.decode(sentencepiece_bpe.encode(documents, path), path))
+    return sentencepiece_bpe.digests(sentencepiece_bpe.round_trip(documents, path))
 
 
 def held_out(modulus: int, value: int):

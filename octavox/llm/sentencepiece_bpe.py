@@ -345,30 +345,51 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>")
 
 
+def _decoded(m: Model, ids: np.ndarray, offsets: np.ndarray):
+    """Slices of the sequences between the offsets: begin, end, and the texts that they decode to."""
+    begin, rows = 0, len(offsets) - 1
+    while begin < rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + DECODED_IDS, "right")) - 1)
+        data, ends = m.decode(ids[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        text = string_array(data, ends)
+        try:
+            text.validate(full=True)
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:  # byte ids that make no UTF-8
+            text = pa.array([m.library.decode(ids[offsets[k] : offsets[k + 1]].tolist()) for k in range(begin, end)], pa.string())
+        yield begin, end, text
+        begin = end
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (the text of the ids; null ids decode to an empty text)."""
 
     def batches(it):
         m = model(path)
         for rb in it:
-            column, begin = rb.column("ids"), 0
-            offsets = column.offsets.to_numpy().astype(np.int64)
-            ids = column.values.to_numpy(zero_copy_only=False)
-            while begin < len(column):
-                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + DECODED_IDS, "right")) - 1)
-                data, ends = m.decode(ids[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
-                part, text = column.slice(begin, end - begin), string_array(data, ends)
-                try:
-                    text.validate(full=True)
-                    text = text.cast(pa.string())
-                except pa.ArrowInvalid:  # byte ids that make no UTF-8
-                    text = pa.array([m.library.decode(x or []) for x in part.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, end - begin), part, text], ["doc_id", "ids", "decoded"])
-                begin = end
+            column = rb.column("ids")
+            for begin, end, text in _decoded(m, column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)):
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, end - begin), column.slice(begin, end - begin), text], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(documents: DataFrame, path: str) -> DataFrame:
+    """`decode` of `encode` in one Python stage: a task has one worker with one vocabulary, and no ids cross between two."""
+
+    def batches(it):
+        m = model(path)
+        for rb in it:
+            for start in range(0, rb.num_rows, 512):
+                keys = rb.column("doc_id").slice(start, 512)
+                ids, offsets = m.encode([t or "" for t in rb.column("text").slice(start, 512).to_pylist()])
+                for begin, end, text in _decoded(m, ids, offsets):
+                    own = pa.ListArray.from_arrays(pa.array((offsets[begin : end + 1] - offsets[begin]).astype(np.int32)), pa.array(ids[offsets[begin] : offsets[end]]))
+                    yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), own, text], ["doc_id", "ids", "decoded"])
+
+    return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids in decimal joined by commas and of the decoded text."""
     return decoded.select(

@@ -36,6 +36,7 @@ def test_sentencepiece_matches_the_library(spark, odd, empty):
     documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     for table in (odd, documents):
         got = sorted(sentencepiece_bpe.decode(sentencepiece_bpe.encode(table, path), path).collect(), key=repr)
+        assert sorted(sentencepiece_bpe.round_trip(table, path).collect(), key=repr) == got
         want = sorted(((r["doc_id"], lib.encode(r["text"] or "")) for r in table.collect()), key=repr)
         assert sorted(repr((r["doc_id"], r["ids"])) for r in got) == sorted(map(repr, want))
         assert all(r["decoded"] == lib.decode(r["ids"]) for r in got)
@@ -43,6 +44,7 @@ def test_sentencepiece_matches_the_library(spark, odd, empty):
     ids = lib.encode("same text here")
     assert d["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and d["n_tokens"] == len(ids)
     assert sentencepiece_bpe.encode(empty, path).count() == 0
+    assert sentencepiece_bpe.round_trip(empty, path).count() == 0
     byte_ids = spark.createDataFrame([(1, [3 + 0xFF, 300]), (2, None)], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["decoded"] for r in sentencepiece_bpe.decode(byte_ids, path).collect()} == {1: lib.decode([3 + 0xFF, 300]), 2: ""}
 
