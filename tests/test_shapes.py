@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from octavox.functions import morton
 from octavox.operators import grid, search
-from octavox.plans import queries
-from octavox.sources import shapes
+from octavox.operators import geometry as geo
+from octavox.plans import geometry, indexing, queries  # noqa: F401
+from octavox.sources import files, shapes
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -58,3 +59,59 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "shape_id long, x int, y int, z int")
     assert grid.grow(none, 4).count() == grid.shrink(none, 4).count() == 0
     assert search.packed(shapes.to_words(none, 2)).count() == 0
+
+
+def test_octants_and_hausdorff(spark):
+    words = shapes.to_words(golden(spark), 2)
+    sizes = {(r["shape_id"], r["size"]): r["count"] for r in geo.octants(words, 2).groupBy("shape_id", "size").count().collect()}
+    assert sizes == {(0, 4): 1, (1, 1): 1, (2, 2): 1, (3, 2): 4}
+    every = geo.with_fields(spark.range(5).withColumnRenamed("id", "shape_id"), words, 2)
+    corner = {r["shape_id"]: [(v % 5, v // 5 % 5, v // 25) for v in r["at"]] for r in every.collect()}
+    assert corner[4] == [(2, 2, 2)]  # a shape without voxels
+    far = lambda a, b: max(min(sum((p - q) ** 2 for p, q in zip(s, t)) for t in b) for s in a)
+    for r in geo.hausdorff(every, every).collect():
+        a, b = corner[r["query_id"]], corner[r["object_id"]]
+        assert r["dist"] == max(far(a, b), far(b, a)) ** 0.5
+
+
+def test_canonical_pose(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    atoms = [(m, a, *map(float, rng.normal(size=3) * (3, 2, 1) + 7), float(1 + a % 3)) for m in range(4) for a in range(9)]
+    frame = spark.createDataFrame(atoms, "shape_id long, atom int, x double, y double, z double, mass double")
+    got = geo.canonical_pose(frame).toPandas().sort_values(["shape_id", "atom"])
+    for m in range(4):
+        p, q = np.array([a[2:5] for a in atoms if a[0] == m]), got.loc[got.shape_id == m, ["x", "y", "z"]].to_numpy()
+        w = np.array([a[5] for a in atoms if a[0] == m])
+        assert np.allclose(w @ q, 0) and np.allclose(((p[:, None] - p) ** 2).sum(-1), ((q[:, None] - q) ** 2).sum(-1))
+        second = (q * w[:, None]).T @ q
+        assert np.allclose(second - np.diag(np.diag(second)), 0, atol=1e-8) and list(np.diag(second)) == sorted(np.diag(second), reverse=True)
+        turn = np.linalg.lstsq(p - w @ p / w.sum(), q, rcond=None)[0]
+        assert np.isclose(np.linalg.det(turn), 1)
+        for axis in (0, 1):
+            about = (q**2).sum(1) - q[:, axis] ** 2
+            assert about[q[:, axis] < 0].sum() >= about[q[:, axis] >= 0].sum() - 1e-9
+
+
+def test_interaction_points(spark):
+    rows = [(1, k, float(k % 2), 0.0, 0.0) for k in range(4)] + [(1, 9, 30.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0)]
+    got = geo.interaction_points(spark.createDataFrame(rows, "shape_id long, atom int, x double, y double, z double")).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 4, 0.5, 0.0, 0.0)]
+
+
+def test_files(spark, tmp_path):
+    words = shapes.to_words(golden(spark), 2)
+    for r in files.to_voxel_files(words, 2, 0.5).collect():
+        (tmp_path / f"{r['title']}.mira").write_bytes(r["content"])
+    (tmp_path / "9.mira").write_bytes(b"no voxels")
+    back = files.read_voxel_files(spark, str(tmp_path))
+    assert {(r["side"], r["resolution"]) for r in back.collect()} == {(4, 0.5)}
+    assert sorted(sum(bin(w["bits"] & (1 << 64) - 1).count("1") for w in r["words"]) for r in back.collect()) == [1, 8, 32, 64]
+    text = {r["shape_id"]: r["value"] for r in files.to_grid_text(words, 2).collect()}
+    assert text[1].split("\n")[5] == "0 1 0 0" and sum(map(int, text[2].split())) == 8
+    mol = spark.createDataFrame([("a b", [(1.5, -2.0, 0.25, "Cl"), (0.0, 0.0, 10.0, "C")], [(1, 2, 1)], 0.75)], "title string, atoms array<struct<x: double, y: double, z: double, element: string>>, bonds array<struct<a: int, b: int, kind: int>>, score double")
+    made = files.to_structures(mol, "score")
+    (tmp_path / "m.sdf").write_text("".join(r["value"] + "$$$$\n" for r in made.collect()) * 2 + "junk\n$$$$\n")
+    read = files.read_structures(spark, str(tmp_path / "m.sdf")).collect()
+    assert len(read) == 2 and all((r["title"], r["atoms"], r["bonds"]) == (mol.first()["title"], mol.first()["atoms"], mol.first()["bonds"]) for r in read)
