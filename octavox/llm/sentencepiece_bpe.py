@@ -25,7 +25,7 @@ MARK = "▁"
 KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE = 600_000, 40, 1_000_000, 8
 #: Ids that are decoded at a time.
 DECODED_IDS = 1_000_000
-_KNOWN_BITS, _FACTOR = 22, 0xC2B2AE3D27D4EB4F
+_KNOWN_BITS, _FACTOR = 21, 0xC2B2AE3D27D4EB4F
 _UNKNOWN = 1 << 15  # ids from here on are characters that the vocabulary lacks
 _models: dict[str, "Model"] = {}
 
@@ -90,9 +90,15 @@ class Model:
         return ((key * np.int64(0x2545F4914F6CDD1D)) >> np.int64(64 - self.bits)) & np.int64((1 << self.bits) - 1)
 
     def forget(self) -> None:
-        self.known_keys, self.known_place = np.zeros(1 << _KNOWN_BITS, np.uint64), np.zeros(1 << _KNOWN_BITS, np.int64)
+        self.known_keys, self.known_place = np.zeros(1 << _KNOWN_BITS, np.uint64), np.zeros(1 << _KNOWN_BITS, np.int32)
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def rest(self) -> None:
+        """Give back what a task gathered: an idle worker holds the vocabulary alone."""
+        self.forget()
+        self.power = self.inverse = np.zeros(0, np.uint64)
+        pa.default_memory_pool().release_unused()
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair makes; a large rank where it makes none."""
         key = (left.astype(np.int64) << 21) | right
@@ -224,7 +230,7 @@ class Model:
         """Places of known runs; -1 for new ones."""
         at = (hashes >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)
         found = self.known_keys[at]
-        out = np.where(found == hashes, self.known_place[at], -1)
+        out = np.where(found == hashes, self.known_place[at].astype(np.int64), -1)
         more = np.flatnonzero((found != hashes) & (found != 0))
         while len(more):
             at[more] = (at[more] + 1) & ((1 << _KNOWN_BITS) - 1)
@@ -341,6 +347,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
                 texts = [t or "" for t in rb.column("text").slice(begin, 512).to_pylist()]
                 ids, offsets = m.encode(texts)
                 yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, 512), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+        m.rest()
 
     return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>")
 
@@ -386,6 +393,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
                 for begin, end, text in _decoded(m, ids, offsets):
                     own = pa.ListArray.from_arrays(pa.array((offsets[begin : end + 1] - offsets[begin]).astype(np.int32)), pa.array(ids[offsets[begin] : offsets[end]]))
                     yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), own, text], ["doc_id", "ids", "decoded"])
+        m.rest()
 
     return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
 
