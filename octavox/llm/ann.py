@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, ragged
 
 #: Dimensions of a subspace, centroids of one (four bits), rows the codebooks are fitted on at most.
 SUBSPACE, CENTROIDS, FIT_ROWS = 2, 16, 10_000
 #: Weight of the residual along the vector against the residual across it.
 PARALLEL_WEIGHT = 4.0
-#: Code blocks at least, rows of a block and of a query block at most; per block and query, candidates reranked.
+#: Code blocks at least, vectors of a block and of a query block at most; per block and query, candidates that set the first threshold.
 BLOCKS, BLOCK_ROWS, QUERY_ROWS, RERANK = 64, 8192, 4096, 48
 
 
@@ -100,32 +100,63 @@ def scan(codes: np.ndarray, queries: np.ndarray, books: np.ndarray) -> np.ndarra
     return out
 
 
-def rerank(ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, depth: int) -> pd.DataFrame:
-    """For each query its `top` rows by exact product among the `depth` best of the scan; ties go to smaller ids."""
-    out = []
-    x, order = rows.astype(np.float64), np.argsort(ids, kind="stable")
-    x, ids, rough = x[order], ids[order], rough[:, order]
-    for k, q in enumerate(queries.astype(np.float64)):
-        own = ids != query_ids[k]
-        score = np.where(own, rough[k], -np.inf)
-        if len(ids) > depth + 1:
-            least = np.partition(score, len(ids) - depth)[len(ids) - depth]
-            over = np.flatnonzero(score > least)
-            near = np.concatenate([over, np.flatnonzero((score == least) & own)[: depth - len(over)]])
-        else:
-            near = np.flatnonzero(own)
-        exact = np.array([float(np.dot(q, v)) for v in x[near]]) if len(near) else np.zeros(0)
-        best = np.lexsort((ids[near], -exact))[:top]
-        out.append(pd.DataFrame({"query_id": query_ids[k], "vec_id": ids[near][best], "score": exact[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+def residuals(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: the factor that best scales its code to the row, the length of what is left then, the code's length."""
+    coded = books[np.arange(len(books)), codes].reshape(len(x), -1)
+    square = (coded**2).sum(1)
+    scale = np.divide((x * coded).sum(1), square, out=np.zeros(len(x)), where=square > 0)
+    return scale, np.sqrt(((x - scale[:, None] * coded) ** 2).sum(1)), np.sqrt(square)
+
+
+def upper(rough: np.ndarray, scale: np.ndarray, left: np.ndarray, size: np.ndarray, norm: float) -> np.ndarray:
+    """No exact product of a query of length `norm` exceeds this: what the code leaves lies across it, so only the query's part across it counts."""
+    slip = 1e-5 * norm * size  # more than the rounding of the scan's single-precision sums
+    along = np.divide(np.maximum(np.abs(rough) - slip, 0), size, out=np.zeros(len(size)), where=size > 0)
+    most = scale * rough + np.abs(scale) * slip + left * np.sqrt(np.maximum(norm * norm - along * along, 0)) * (1 + 1e-9)
+    return np.where(np.isfinite(most), most + 1e-9 * norm * (left + size), np.inf)
+
+
+def rerank(block: pd.DataFrame, rows: np.ndarray, rough: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, top: int, depth: int) -> pd.DataFrame:
+    """For each query its `top` rows by exact product, ties to smaller ids; `block` has one row a vector with its sorted ids.
+
+    The `depth` vectors of largest bound set a threshold; every vector whose bound reaches it is multiplied exactly.
+    """
+    scale, left, size = (block[c].to_numpy(np.float64) for c in ("scale", "remains", "size"))
+    lengths, flat = block["ids"].map(len).to_numpy(np.int64), np.concatenate(block["ids"].to_numpy())
+    starts = np.cumsum(lengths) - lengths
+    low, high = flat[starts], flat[starts + lengths - 1]
+    longest = np.sqrt((rows**2).sum(1).max())
+    found: list[tuple] = []
+    for k, q in enumerate(queries):
+        norm = float(np.sqrt((q * q).sum()))
+        most, slack = upper(rough[k].astype(np.float64), scale, left, size, norm), 1e-12 * norm * longest
+        most[(low == query_ids[k]) & (high == query_ids[k])] = -np.inf
+        near = np.flatnonzero((most >= floors[k]) & (most > -np.inf))
+        if len(near) > depth >= top:
+            first = near[np.argpartition(most[near], len(near) - depth)[len(near) - depth :]]
+            near = near[most[near] >= np.partition(rows[first] @ q, depth - top)[depth - top] - slack]
+        if len(near) > top:
+            score = rows[near] @ q
+            near = near[score >= np.partition(score, len(near) - top)[len(near) - top] - slack]
+        if not len(near):
+            continue
+        exact = np.repeat([float(np.dot(q, v)) for v in rows[near]], lengths[near])
+        ids = flat[ragged(starts[near], lengths[near])]
+        exact, ids = exact[ids != query_ids[k]], ids[ids != query_ids[k]]
+        best = np.lexsort((ids, -exact))[:top]
+        found.append((np.full(len(best), query_ids[k]), ids[best], exact[best]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
 
 def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, blocks: int = BLOCKS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's `top` rows of largest inner product, ties to smaller ids.
 
     `vectors` has vec_id (long) and embedding (array of float); `is_query` is a boolean column that marks the
-    queries. Every row is coded; the codebooks are fitted on FIT_ROWS rows at most. Codes are scanned block by
-    block, the best `depth` of a block are reranked exactly, so the depth grows with the rows. Vectors that are
+    queries. Every different vector is coded once; the codebooks are fitted on FIT_ROWS rows at most. Codes are
+    scanned block by block, and all vectors of a block are multiplied exactly whose scanned product plus the bound of
+    their residual reaches the block's `top`th exact product of the first `depth`, or the `top`th among the fitting
+    rows; no nearer row is lost. Of the copies of a vector the smallest top + 1 ids take part. Vectors that are
     null, zero, of another length than the commonest or with null or non-finite components take no part, nor do
     rows without an id; an empty table gives no rows; repeated ids are candidates of their own. Other columns are
     not read.
@@ -136,36 +167,58 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     if not n or not asked:
         return vectors.sparkSession.createDataFrame([], columns)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < F.lit(min(1.0, FIT_ROWS / n) * (1 << 20))).orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(FIT_ROWS).toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < F.lit(min(1.0, FIT_ROWS / n) * (1 << 20))).orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "embedding").limit(FIT_ROWS).toPandas()
     if sample.empty:
-        sample = rows.select("embedding").limit(FIT_ROWS).toPandas()
+        sample = rows.select("vec_id", "embedding").limit(FIT_ROWS).toPandas()
     books = fit(matrix(sample["embedding"], np.float64))
     width = len(books) * SUBSPACE
+    known, known_ids = matrix(sample["embedding"]), sample["vec_id"].to_numpy()
 
     def code(batches):
         for part in batches:
             if len(part):
                 x = np.pad(matrix(part["embedding"], np.float64), ((0, 0), (0, width - d)))
-                part["codes"] = [c.tobytes() for c in np.packbits(np.unpackbits(assign(x, books, PARALLEL_WEIGHT)[:, :, None], axis=2)[:, :, 4:].reshape(len(x), -1), axis=1)]
+                codes = assign(x, books, PARALLEL_WEIGHT)
+                part["codes"] = [c.tobytes() for c in np.packbits(np.unpackbits(codes[:, :, None], axis=2)[:, :, 4:].reshape(len(x), -1), axis=1)]
+                part["scale"], part["remains"], part["size"] = residuals(x, codes, books)
+                yield part
+
+    def floor(batches):
+        # The `top`th exact product among the fitting rows, which are candidates too.
+        x = known.astype(np.float64).T
+        longest = np.sqrt((x**2).sum(0).max())
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                part = batch.iloc[begin : begin + 256].copy()
+                q = matrix(part["query"], np.float64)
+                score = np.where(part["query_id"].to_numpy()[:, None] == known_ids, -np.inf, q @ x)
+                least = np.partition(score, x.shape[1] - top, axis=1)[:, x.shape[1] - top] if x.shape[1] >= top else np.full(len(q), -np.inf)
+                part["floor"] = least - 1e-12 * longest * np.sqrt((q**2).sum(1))
                 yield part
 
     block_count, query_blocks = max(blocks, -(-n // BLOCK_ROWS)), -(-asked // QUERY_ROWS)
-    place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(block_count)).cast("int")
+    place = F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(block_count)).cast("int")
     turn = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int")
-    coded = rows.select("vec_id", "embedding").mapInPandas(code, "vec_id long, embedding array<float>, codes binary")
+    # Window limits are applied before the shuffle, so that a vector of very many copies brings few ids from each task.
+    copies = rows.groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("n"))
+    copies = copies.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= top + 1)
+    ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "n"))), lambda s: F.array_repeat(s["vec_id"], s["n"])))
+    different = copies.groupBy("embedding").agg(ids.alias("ids"))
+    coded = different.mapInPandas(code, "embedding array<float>, ids array<long>, codes binary, scale double, remains double, size double")
     coded = coded.withColumn("block", place).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), turn.alias("turn")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))))
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), turn.alias("turn"))
+    queries = queries.mapInPandas(floor, "query_id long, query array<float>, turn int, floor double").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         packed = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(left), -1)[:, : len(books)]
-        x, ids, found = matrix(left["embedding"]), left["vec_id"].to_numpy(), []
+        x, found = matrix(left["embedding"], np.float64), []
         for begin in range(0, len(right), 256):
             part = right.iloc[begin : begin + 256]
-            q = matrix(part["query"])
-            found.append(rerank(ids, x, scan(codes, q, books), part["query_id"].to_numpy(), q, top, depth))
+            q = matrix(part["query"], np.float64)
+            found.append(rerank(left, x, scan(codes, q, books), part["query_id"].to_numpy(), q, part["floor"].to_numpy(), top, depth))
         return pd.concat(found)
 
     parts = partitions(vectors.sparkSession)

@@ -101,6 +101,25 @@ def test_nearest_recall(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [None, 0.0, 0.02, 0.1])
+def test_nearest_in_one_block_finds_all(spark, noise):
+    """One code block of 8000 rows, plain or with a third of them copies or near copies: recall is 1."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    if noise is not None:
+        x[::3] = x[0] + rng.normal(size=x[::3].shape) * noise
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = [q for q in range(8000) if q % 200 in (0, 1)]
+    got = ann.nearest(table, F.col("vec_id") % 200 < 2, blocks=1).toPandas()
+    y = x.astype(np.float64)
+    for q in asked:
+        s = np.array([float(np.dot(y[q], v)) for v in y])
+        s[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(own.vec_id) == list(np.lexsort((np.arange(8000), -s))[:20])
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
