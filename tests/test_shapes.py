@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from octavox.functions import morton
-from octavox.operators import grid, search
+from octavox.operators import clusters, grid, index, search
 from octavox.operators import geometry as geo
 from octavox.plans import geometry, indexing, queries  # noqa: F401
 from octavox.sources import files, shapes
@@ -115,3 +115,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.sdf").write_text("".join(r["value"] + "$$$$\n" for r in made.collect()) * 2 + "junk\n$$$$\n")
     read = files.read_structures(spark, str(tmp_path / "m.sdf")).collect()
     assert len(read) == 2 and all((r["title"], r["atoms"], r["bonds"]) == (mol.first()["title"], mol.first()["atoms"], mol.first()["bonds"]) for r in read)
+
+
+def test_clusters_take_all_members(spark, monkeypatch):
+    """Copies, empty shapes, odd ids and a null label, in several blocks, against brute force."""
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    rng = __import__("random").Random(3)
+    base = [0, 1, (1 << 63) | 5, *[rng.getrandbits(64) for _ in range(20)]]
+    data = [(2 * i + 1, i % 3 if i % 11 else None, rng.choice(base[:4] if i % 2 else base)) for i in range(70)]
+    table = spark.createDataFrame([(i, lab, b - (1 << 64) if b >> 63 else b) for i, lab, b in data], "shape_id long, label int, bits long")
+    far = lambda a, b: 1.0 - (a & b).bit_count() / (a | b).bit_count() if a | b else 0.0
+    want = {(i, o): w for i, _, a in data for w, o in sorted((far(a, b), o) for o, _, b in data if o != i)[:8]}
+    assert {(r["src"], r["dst"]): r["weight"] for r in clusters.knn(table, 8).collect()} == want
+    for r in clusters.linkage(table).collect():
+        d = [far(a, b) for _, p, a in data for _, q, b in data if (p, q) == (r["query_label"], r["object_label"])]
+        assert (r["single"], r["complete"]) == (min(d), max(d)) and abs(r["total"] - sum(d)) < 1e-9 and abs(r["average"] - sum(d) / len(d)) < 1e-12
+    means = lambda lab: ((round(sum(far(a, b) for _, q, b in data if q == lab) / sum(q == lab for _, q, _ in data), 9), i) for i, p, a in data if p == lab)
+    assert {r["label"]: (r["mean"], r["medoid"]) for r in clusters.medoids(table).collect()} == {lab: min(means(lab)) for lab in range(3)}
