@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from octavox.operators import clusters
-from octavox.plans.queries import EVERY, LINK, REGISTRY, SQL, query
+from octavox.operators import clusters, search
+from octavox.plans.queries import EMB, EVERY, LINK, REGISTRY, SQL, query
 from octavox.sources import shapes
 
 
@@ -41,3 +41,31 @@ def reverse_neighbours_all(spark, sf_dir):
 def merged_neighbours_all(spark, sf_dir):
     e = knn_graph_all(spark, sf_dir).select("src", "dst")
     return e.union(e.select("dst", "src")).distinct()
+
+
+@query("WITH p AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1), g AS (SELECT id, n, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM p) SELECT id AS shape_id, mask::BIGINT AS mask, bit_count(mask)::INT AS points FROM g")
+def point_subsets_all(spark, sf_dir):
+    """All subsets of every order's points."""
+    p = shapes.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("shape_id")).agg(F.countDistinct("l_linenumber").cast("int").alias("n"))
+    return p.select("shape_id", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")).alias("mask")).withColumn("points", F.bit_count("mask"))
+
+
+OCTANTS = EMB + f""", pt AS (SELECT id AS q, min(v) AS v, (v // 8)::INT AS part FROM s WHERE id % {EVERY} = 0 GROUP BY id, v // 8),
+w AS (SELECT q, v, (1::BIGINT << (row_number() OVER (PARTITION BY q ORDER BY part) - 1)::INT)::BIGINT AS b FROM pt),
+own AS (SELECT q.id AS q, coalesce(sum(b), 0)::BIGINT AS own FROM q LEFT JOIN w ON w.q = q.id GROUP BY q.id),
+held AS (SELECT own.q, own, ids.id, coalesce(h, 0) AS h FROM own CROSS JOIN ids LEFT JOIN (SELECT w.q, s.id, sum(b)::BIGINT AS h FROM w JOIN s USING (v) GROUP BY ALL) t ON t.q = own.q AND t.id = ids.id)
+SELECT q AS query_id, mask::BIGINT AS mask, count(*) FILTER (WHERE (h & mask) = mask)::BIGINT AS hits FROM held, range(0, 256) r(mask) WHERE (own & mask) = mask GROUP BY ALL"""
+
+
+@query(OCTANTS)
+def subset_search_all(spark, sf_dir):
+    """Shapes that hold each subset of a query's own points, the first voxel of each octant that it fills: counted by points held, then by subset."""
+    w = shapes.sign_shapes(spark, sf_dir).select("shape_id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    by = w.groupBy("bits").agg(F.count("*").alias("m"))
+    first = "filter(transform(sequence(0, 7), o -> array_min(filter(sequence(8 * o, 8 * o + 7), v -> (shiftright(bits, v) & 1L) = 1L))), v -> v is not null)"
+    q = w.where(F.col("shape_id") % EVERY == 0).select(F.col("shape_id").alias("query_id"), F.expr(first).alias("points"))
+    own = "aggregate(points, struct(0L as h, 0 as k), (t, v) -> struct(t.h | shiftleft(shiftright(bits, v) & 1L, t.k) as h, t.k + 1 as k), t -> t.h)"
+    held = search.against(q, by).withColumn("h", F.expr(own))
+    held = held.groupBy("query_id", F.size("points").alias("n"), "h").agg(F.sum("m").alias("m"))
+    subsets = held.select("query_id", "m", "h", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")).alias("mask"))
+    return subsets.groupBy("query_id", "mask").agg(F.coalesce(F.sum(F.when(F.expr("(h & mask) = mask"), F.col("m"))), F.lit(0).cast("long")).alias("hits"))
