@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octavox.operators import search
 
-#: Shapes of a leaf, and shapes of a centre that one sort may hold; a larger centre is sorted in several parts.
+#: Shapes of a leaf, and ties (shapes of one centre and distance) that one sort may number; more are numbered by ranges of ids.
 LEAF, SORTED = 16, 32_768
 
 
@@ -17,35 +17,49 @@ def nearest_centre(centres: DataFrame, shapes: DataFrame) -> DataFrame:
     return near.select(F.col("object_id").alias("shape_id"), F.col("m.query_id").alias("centre"), F.col("m.dist").alias("dist"))
 
 
+def _numbered(near: DataFrame) -> DataFrame:
+    """Adds `at`, from 0: the place of each shape in the order (dist, shape_id) of its centre.
+
+    Distances of a centre are counted and summed up. The ties of one distance are few, or are cut into equal ranges
+    of ids, which are counted and summed up too; a window holds a range of ties only.
+    """
+    tie = ["centre", "dist"]
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ties = near.groupBy(*tie).agg(F.count("*").alias("ties"), F.min("shape_id").alias("low"), F.max("shape_id").alias("high"))
+    ties = ties.withColumn("first", F.coalesce(F.sum("ties").over(before("centre").orderBy("dist")), F.lit(0)))
+    step = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("ties") / SORTED)))
+    cut = near.join(ties.select(*tie, "low", "first", step.alias("step")), tie).withColumn("range", F.expr("(shape_id - low) div step"))
+    sizes = cut.groupBy(*tie, "range").agg(F.count("*").alias("n"))
+    sizes = sizes.select(*tie, "range", F.coalesce(F.sum("n").over(before(*tie).orderBy("range")), F.lit(0)).alias("skipped"))
+    own = Window.partitionBy(*tie, "range").orderBy("shape_id")
+    return cut.join(sizes, [*tie, "range"]).select("shape_id", "centre", (F.col("first") + F.col("skipped") + F.row_number().over(own) - 1).alias("at"))
+
+
 def pack(centres: DataFrame, shapes: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """shape_id, centre, part, leaf: leaves of `leaf` shapes in the order of their distance from their centre."""
-    near = nearest_centre(centres, shapes)
-    parts = near.groupBy("centre").agg(F.ceil(F.count("*") / SORTED).alias("parts"))
-    split = near.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("shape_id"), F.col("parts")).cast("int"))
-    order = Window.partitionBy("centre", "part").orderBy("dist", "shape_id")
-    return split.select("shape_id", "centre", "part", F.floor((F.row_number().over(order) - 1) / leaf).cast("int").alias("leaf"))
+    """shape_id, centre, leaf: leaves of `leaf` shapes in the order of their distance from their centre."""
+    return _numbered(nearest_centre(centres, shapes)).select("shape_id", "centre", F.floor(F.col("at") / leaf).cast("int").alias("leaf"))
 
 
 def levels(packed: DataFrame, words: DataFrame) -> DataFrame:
-    """level (0: leaf, 1: centre, 2: root), centre, part, leaf, block, miv, msv, n: envelopes, each level from the one below."""
-    n = packed.groupBy("centre", "part", "leaf").agg(F.count("*").alias("n"))
+    """level (0: leaf, 1: centre, 2: root), centre, leaf, block, miv, msv, n: envelopes, each level from the one below."""
+    n = packed.groupBy("centre", "leaf").agg(F.count("*").alias("n"))
     meet = lambda own, size: F.when(F.col(own) == F.col(size), F.col("miv")).otherwise(F.lit(0).cast("long"))
-    key = ["centre", "part", "leaf"]
+    key = ["centre", "leaf"]
     low = words.join(packed, "shape_id").groupBy(*key, "block").agg(F.bit_and("bits").alias("miv"), F.bit_or("bits").alias("msv"), F.count("*").alias("m")).join(n, key)
     low = low.select(F.lit(0).alias("level"), *key, "block", meet("m", "n").alias("miv"), "msv", "n")
     sizes = n.groupBy("centre").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     mid = low.groupBy("centre", "block").agg(F.bit_and("miv").alias("miv"), F.bit_or("msv").alias("msv"), F.count("*").alias("m")).join(sizes, "centre")
-    none = [F.lit(None).cast("int").alias(c) for c in ("part", "leaf")]
-    mid = mid.select(F.lit(1).alias("level"), "centre", *none, "block", meet("m", "c").alias("miv"), "msv", F.col("t").alias("n"))
+    none = F.lit(None).cast("int").alias("leaf")
+    mid = mid.select(F.lit(1).alias("level"), "centre", none, "block", meet("m", "c").alias("miv"), "msv", F.col("t").alias("n"))
     all_ = sizes.agg(F.count("*").alias("c"), F.sum("t").alias("t"))
     top = mid.groupBy("block").agg(F.bit_and("miv").alias("miv"), F.bit_or("msv").alias("msv"), F.count("*").alias("m")).join(F.broadcast(all_), F.lit(True))
-    top = top.select(F.lit(2).alias("level"), F.lit(None).cast("long").alias("centre"), *none, "block", meet("m", "c").alias("miv"), "msv", F.col("t").alias("n"))
+    top = top.select(F.lit(2).alias("level"), F.lit(None).cast("long").alias("centre"), none, "block", meet("m", "c").alias("miv"), "msv", F.col("t").alias("n"))
     return low.unionByName(mid).unionByName(top)
 
 
 def packed_leaves(envelopes: DataFrame) -> DataFrame:
     """Leaves as `search.bounds` takes them, named by node_id."""
-    own = envelopes.where("level = 0").withColumn("node_id", F.struct("centre", "part", "leaf"))
+    own = envelopes.where("level = 0").withColumn("node_id", F.struct("centre", "leaf"))
     return own.groupBy("node_id", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("block", "miv"))).alias("miv"),
         F.map_from_entries(F.collect_list(F.struct("block", "msv"))).alias("msv"),

@@ -132,3 +132,16 @@ def test_clusters_take_all_members(spark, monkeypatch):
         assert (r["single"], r["complete"]) == (min(d), max(d)) and abs(r["total"] - sum(d)) < 1e-9 and abs(r["average"] - sum(d) / len(d)) < 1e-12
     means = lambda lab: ((round(sum(far(a, b) for _, q, b in data if q == lab) / sum(q == lab for _, q, _ in data), 9), i) for i, p, a in data if p == lab)
     assert {r["label"]: (r["mean"], r["medoid"]) for r in clusters.medoids(table).collect()} == {lab: min(means(lab)) for lab in range(3)}
+
+
+def test_pack_of_a_large_centre(spark, monkeypatch):
+    """Leaves follow the order of the whole centre, whatever the number of its shapes and ties."""
+    monkeypatch.setattr(index, "SORTED", 10)
+    data = [(i * i, 1 << 60 if i % 3 == 0 else (1 << (i % 5 + 1)) - 1) for i in range(1, 200)]
+    table = spark.createDataFrame([(i, 0, b) for i, b in data], "shape_id long, block int, bits long")
+    packed = search.packed(table)
+    got = {r["shape_id"]: (r["centre"], r["leaf"]) for r in index.pack(packed.where("shape_id = 1"), packed).collect()}
+    own = dict(data)
+    far = lambda b: 1.0 - (own[1] & b).bit_count() / (own[1] | b).bit_count()
+    order = [i for _, i in sorted((far(b), i) for i, b in data)]
+    assert got == {i: (1, k // index.LEAF) for k, i in enumerate(order)}
