@@ -1,4 +1,10 @@
-"""Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels."""
+"""Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
+
+Lexicon and pattern voters vote on the sampled texts. The label model knows their votes only: it estimates each
+voter's accuracy and the voters' correlations from how they agree, by expectation-maximisation, and gives every text
+a posterior label. Gold labels choose the words of the lexicons and the share of toxic texts; they are no voter, start
+no posterior and are not what the classifier learns.
+"""
 
 from __future__ import annotations
 
@@ -13,20 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 
-#: Bounds of the training sample: about this many texts of either label; and texts of one are cut into words whole.
+#: Bound of the training sample: about this many texts of either label.
 TEXTS_PER_LABEL = 2500
-#: Voters made from induced word lists, entries of all lists together, texts an entry must be in at least.
-LEXICONS, ENTRIES, LEAST_TEXTS = 12, 480, 4
+#: Voters made from induced word lists, entries of all lists together, texts an entry must be in at least, and how much more often in toxic ones.
+LEXICONS, ENTRIES, LEAST_TEXTS, LEAST_LIFT = 12, 480, 4, 8.0
 #: Lengths of word beginnings that may be entries besides whole words.
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 400_000
+#: Words whose entries a worker keeps, and entries that it counts before it hands the counts on.
+KEPT_WORDS, COUNTED = 400_000, 200_000
 
 
 def entries_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
 def patterns(text: str) -> list[bool]:
     """Votes of the pattern voters: shouting, strings of exclamation marks, second-person openings, starred letters."""
     return [
@@ -37,40 +48,53 @@ def patterns(text: str) -> list[bool]:
     ]
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class LabelModel:
-    """P(votes | label) with a mean for each label and one covariance of the votes, so that correlated voters share weight."""
+    """P(votes | label): how often each voter speaks up for either label, and how the voters correlate within a label.
+
+    A voter's evidence is the log ratio of its rates. Voters that go together share theirs: their shares solve
+    C s = 1 for the correlations C, so that two voters who always agree count as one.
+    """
 
     prior: float
-    means: np.ndarray  # (2, voters)
-    covariance: np.ndarray
+    rates: np.ndarray  # (2, voters): P(vote | label)
+    correlation: np.ndarray
+    shares: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25, ridge: float = 0.02) -> LabelModel:
-        """Expectation-maximisation from a first guess of the posteriors."""
+    def fit(cls, votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> LabelModel:
+        """Expectation-maximisation on the votes alone, from a first guess of the posteriors made of votes."""
         posterior = np.clip(start, 0.02, 0.98)
+        model = cls(prior, np.zeros((2, votes.shape[1])), np.eye(votes.shape[1]), np.ones(votes.shape[1]))
         for _ in range(rounds):
             weights = np.stack([1 - posterior, posterior])
-            means = (weights @ votes) / np.maximum(weights.sum(1, keepdims=True), 1e-9)
-            covariance = sum(((votes - means[k]) * weights[k][:, None]).T @ (votes - means[k]) for k in (0, 1)) / len(votes) + ridge * np.eye(votes.shape[1])
-            model = cls(prior, means, covariance)
+            # Half a vote more on either side, so that a voter that never errs in the sample isn't taken as infallible.
+            rates = (weights @ votes + 0.5) / (weights.sum(1, keepdims=True) + 1)
+            spread = sum(((votes - rates[k]) * weights[k][:, None]).T @ (votes - rates[k]) for k in (0, 1)) / max(1, len(votes))
+            sd = np.sqrt(np.maximum(np.diag(spread), 1e-9))
+            correlation = spread / np.outer(sd, sd)
+            # Exclusion (negative correlation) gives no voter more than its own evidence.
+            together = np.maximum(correlation, 0) + ridge * np.eye(len(sd))
+            shares = np.clip(np.linalg.solve(together, np.ones(len(sd))) * (1 + ridge), 0.1, 1)
+            model = cls(prior, rates, correlation, shares)
             after = model.posterior(votes)
-            if np.abs(after - posterior).max() < 1e-6:
-                break
+            done = np.abs(after - posterior).max(initial=0) < 1e-6
             posterior = after
+            if done:
+                break
         return model
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        weight = np.linalg.solve(self.covariance, self.means[1] - self.means[0])
-        logit = np.log(self.prior / (1 - self.prior)) + (votes - self.means.mean(0)) @ weight
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    def posterior(self, votes: np.ndarray, prior: float | None = None) -> np.ndarray:
+        prior = self.prior if prior is None else prior
+        spoke, silent = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        return _sigmoid(np.log(prior / (1 - prior)) + votes @ (self.shares * spoke) + (1 - votes) @ (self.shares * silent))
 
     def accuracies(self) -> np.ndarray:
-        return self.prior * self.means[1] + (1 - self.prior) * (1 - self.means[0])
-
-    def correlations(self) -> np.ndarray:
-        sd = np.sqrt(np.diag(self.covariance))
-        return self.covariance / np.outer(sd, sd)
+        return self.prior * self.rates[1] + (1 - self.prior) * (1 - self.rates[0])
 
 
 @dataclass
@@ -80,61 +104,73 @@ class Classifier:
     label_model: LabelModel | None = None
 
 
-def induce(sets: list[set[str]], gold: np.ndarray) -> list[str]:
-    """Word-list entries that toxic training texts hold far more often than others, best first."""
-    total, toxic = Counter(), Counter()
-    for words, y in zip(sets, gold, strict=True):
-        own = {e for w in words for e in entries_of(w)}
-        total.update(own)
-        if y:
-            toxic.update(own)
-    n1 = max(1, int(gold.sum()))
-    n0 = max(1, len(gold) - n1)
-    scored = []
-    for e, k in toxic.items():
-        if k >= LEAST_TEXTS:
-            clean = total[e] - k
-            rate = (k + 0.5) / n1 / ((clean + 0.5) / n0)
-            if rate >= 8:
-                scored.append((-(k * np.log(rate)), e))
-    return [e for _, e in sorted(scored)[:ENTRIES]]
+def first_guess(votes: np.ndarray, lexicons: int, prior: float) -> np.ndarray:
+    """Posteriors to start from: the share `prior` of the texts with the most lexicon votes, ties alike."""
+    count = votes[:, :lexicons].sum(1) + 0.1 * votes[:, lexicons:].sum(1)
+    most = np.sort(count)[::-1][min(len(count) - 1, int(prior * len(count)))] if len(count) else 0
+    return np.where(count > most, 0.9, np.where((count == most) & (count > 0), 0.7, 0.1))
+
+
+def induce(texts: DataFrame, n0: int, n1: int) -> list[str]:
+    """Word-list entries that toxic training texts (`text`, `gold`) hold far more often than others, best first.
+
+    Texts are counted where they are; the driver gets ENTRIES rows at most.
+    """
+
+    def count(batches):
+        for part in batches:
+            total, toxic = Counter(), Counter()
+            for begin in range(len(part)):
+                own = {e for w in words_of(part["text"].iat[begin]) for e in entries_of(w)}
+                total.update(own)
+                if part["gold"].iat[begin] == 1:
+                    toxic.update(own)
+                if len(total) > COUNTED or begin == len(part) - 1:
+                    yield pd.DataFrame({"entry": list(total), "n": list(total.values()), "k": [toxic[e] for e in total]})
+                    total, toxic = Counter(), Counter()
+
+    counts = texts.select("text", "gold").mapInPandas(count, "entry string, n long, k long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    lift = ((F.col("k") + 0.5) / float(max(1, n1))) / ((F.col("n") - F.col("k") + 0.5) / float(max(1, n0)))
+    best = counts.where(F.col("k") >= LEAST_TEXTS).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
+    return [r["entry"] for r in best.orderBy(F.desc(F.col("k") * F.log("lift")), "entry").limit(ENTRIES).collect()]
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", texts_per_label: int = TEXTS_PER_LABEL) -> Classifier | None:
     """Learn from a bounded sample of the texts that `labels` (doc_id, label 0 or 1) marks; None without both labels.
 
-    Word lists are induced from gold labels; the gold label is one more voter of the label model, whose accuracy is
-    estimated like the others'. The classifier sees posteriors only. The driver gets the words of
-    4 * texts_per_label texts at most.
+    Gold labels pick the entries of the word lists and give the share of toxic texts; the label model sees votes
+    only and the classifier sees its posteriors only. The driver gets 4 * texts_per_label rows of votes and of the
+    places of the entries that a text has, at most.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", label)
+    counts = dict(marked.groupBy(label).count().collect())
+    if len(counts) < 2:
+        return None
     picked = labelled_sample(marked, label, "doc_id", texts_per_label)
     texts = documents.select("doc_id", "text").join(F.broadcast(picked.withColumnRenamed(label, "gold")), "doc_id")
+    sampled = {r["gold"]: r["count"] for r in texts.groupBy("gold").count().collect()}
+    if len(sampled) < 2:
+        return None
+    chosen = induce(texts, sampled[0], sampled[1])
+    index = {e: k for k, e in enumerate(chosen)}
 
-    def words(batches):
+    def features(batches):
         for part in batches:
-            part["words"] = [sorted(set(_WORD.findall((t or "").lower()))) for t in part["text"]]
+            part["entries"] = [sorted({index[e] for w in words_of(t) for e in entries_of(w) if e in index}) for t in part["text"]]
             part["votes"] = [patterns(t or "") for t in part["text"]]
-            yield part[["doc_id", "gold", "words", "votes"]]
-
-    got = texts.mapInPandas(words, "doc_id long, gold int, words array<string>, votes array<boolean>").toPandas()
-    if got["gold"].nunique() < 2:
-        return None
-    got = got.assign(size=got["words"].map(len)).sort_values(["doc_id", "gold", "size"])
-    sets, gold = [set(w) for w in got["words"]], got["gold"].to_numpy()
-    chosen = induce(sets, gold)
-    index = {e: k for k, e in enumerate(chosen)}
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    for row, own in zip(x, sets, strict=True):
-        hits = {index[e] for w in own for e in entries_of(w) if e in index}
-        row[list(hits)] = 1
-    lists = [x[:, k::LEXICONS].any(1) for k in range(min(LEXICONS, len(chosen)))]
-    votes = np.column_stack([*lists, np.array(got["votes"].tolist(), bool), gold.astype(bool)]).astype(float)
-    counts = dict(marked.groupBy(label).count().collect())
-    prior = float(np.clip(counts.get(1, 1) / max(1, sum(counts.values())), 0.01, 0.99))
-    model = LabelModel.fit(votes, 0.8 * gold + 0.1, prior)
-    posterior = model.posterior(votes)
-    weights, bias = logistic(x, posterior)
+            yield part[["doc_id", "entries", "votes"]]
+
+    got = texts.select("doc_id", "text").mapInPandas(features, "doc_id long, entries array<int>, votes array<boolean>").toPandas()
+    got = got.assign(held=[tuple(e) for e in got["entries"]]).sort_values(["doc_id", "held"], ignore_index=True)
+    x = np.zeros((len(got), len(chosen)), np.float32)
+    for row, own in zip(x, got["held"], strict=True):
+        row[list(own)] = 1
+    lexicons = min(LEXICONS, len(chosen))
+    votes = np.column_stack([*(x[:, k::LEXICONS].any(1) for k in range(lexicons)), np.array(got["votes"].tolist(), bool)]).astype(float)
+    share = sampled[1] / (sampled[0] + sampled[1])
+    model = LabelModel.fit(votes, share, first_guess(votes, lexicons, share))
+    prior = float(np.clip(counts[1] / sum(counts.values()), 0.01, 0.99))
+    weights, bias = logistic(x, model.posterior(votes, prior))
     return Classifier({e: float(w) for e, w in zip(chosen, weights, strict=True) if w}, float(bias), model)
 
 
@@ -143,7 +179,7 @@ def logistic(x: np.ndarray, posterior: np.ndarray, rounds: int = 400, rate: floa
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for turn in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - posterior
+        error = _sigmoid(x @ w + b) - posterior
         g = np.append(x.T @ error / len(x) + ridge * w, error.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8) * (1 - turn / (rounds + 1))
