@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; the rows here hold a few numbers each.
@@ -23,12 +23,14 @@ def remainder(id_column: str, modulus: int):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set one of our own only where none is set (tests)."""
+    """Keep the cluster's spark.checkpoint.dir; in local mode (tests) set one of our own where none is set, else fail."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -58,6 +60,21 @@ def counted(frame: DataFrame) -> tuple[DataFrame, int]:
     return kept.coalesce(max(2 * frame.sparkSession.sparkContext.defaultParallelism, -(-n // LINKS_A_PARTITION))), n
 
 
+def in_order(frame: DataFrame, *order, **sums) -> DataFrame:
+    """The frame with, for each name in `sums`, the sum of its expression over all earlier rows of the order.
+
+    Two passes instead of one window over all rows: the rows are dealt out by ranges of the order, each range is
+    summed, and a window within a range starts from the sum of the ranges before it. One row a range is windowed whole.
+    """
+    n = frame.sparkSession.sparkContext.defaultParallelism * 2
+    dealt = materialise(frame.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(*[F.sum(e).alias(f"_{c}") for c, e in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(ranges), "_range").select(*frame.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(e).over(own), F.lit(0))).alias(c) for c, e in sums.items()])
+
+
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the counted rows are within the bound; otherwise the join shuffles."""
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame

@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import in_order, materialise, small
 
 #: Copies of a document at most; weights of sources in order, repeating.
 MOST, WEIGHTS = 3, (1, 2, 3)
-#: Newton iterations at most, and relative error of a source's words at which they end.
-ITERATIONS, ENOUGH = 40, 1e-9
-#: Parts of the documents of one source and like size, for prefix sums without one large window.
-PARTS = 16
+#: Newton iterations at most (a bracket that only halves is at the end of double precision long before), and relative
+#: error of a source's words at which they end.
+ITERATIONS, ENOUGH = 200, 1e-9
+#: Documents of a part on average, where those of one source and like size are parted for prefix sums.
+PART_ROWS = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,19 +30,22 @@ def sizes(documents: DataFrame) -> DataFrame:
 def targets(per_source: DataFrame) -> DataFrame:
     """source, source_size, target: all words shared by weight, a source's share ending at MOST times its size.
 
-    A water level: sources are filled in the order of MOST * size / weight; those before the level are full, the
-    others share the rest by weight. Windows run over one row a source. Nulls come last in the order of sources.
+    Nulls come last in the order of sources. A source is full where the level of the open ones (words left by weight)
+    reaches MOST * size / weight; filling sources raises the level, so rounds of one aggregate end when none is added.
     """
-    weight = F.element_at(F.array(*map(F.lit, map(float, WEIGHTS))), (F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    s = per_source.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", weight)
-    s = s.withColumn("full_at", MOST * F.col("source_size") / F.col("weight"))
-    before = Window.orderBy("full_at", "place").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    s = s.withColumn("rest", F.sum("source_size").over(every) - F.coalesce(F.sum(MOST * F.col("source_size")).over(before), F.lit(0)))
-    s = s.withColumn("weights", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("rest") / F.col("weights")).withColumn("open", F.col("full_at") > F.col("level"))
-    level = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(Window.orderBy("full_at", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.when(F.col("open"), F.col("weight") * level).otherwise((MOST * F.col("source_size")).cast("double"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, WEIGHTS))), (F.pmod(F.col("place"), F.lit(len(WEIGHTS))) + 1).cast("int"))
+    s = materialise(in_order(per_source, F.col("source").asc_nulls_last(), place=F.lit(1)).withColumn("weight", weight))
+    full_at = MOST * F.col("source_size") / F.col("weight")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level = -1.0
+    while True:
+        full = full_at <= level
+        sums = s.agg(F.sum(F.when(full, MOST * F.col("source_size")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        after = (total - (sums[0] or 0)) / sums[1] if sums[1] else level
+        if after <= level:
+            break
+        level = after
+    target = F.when(full_at <= level, (MOST * F.col("source_size")).cast("double")).otherwise(F.col("weight") * level)
     return s.select("source", "source_size", target.alias("target"))
 
 
@@ -77,8 +81,11 @@ def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         s = s.withColumn("error", F.coalesce(F.abs(off) / F.greatest("target", F.lit(1.0)), F.lit(0.0)))
         s = s.withColumn("multiplier", F.when(F.col("g").isNull() | (off == 0), F.col("multiplier")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2))
         state = materialise(s.select(*state.columns))
-        if (state.agg(F.max("error")).first()[0] or 0.0) <= ENOUGH:
+        # Where a step no longer moves a multiplier, its error is that of double precision.
+        if not (state.agg(F.max(F.when(F.col("high") - F.col("low") > 1e-15 * F.abs("multiplier"), F.col("error")).otherwise(0.0))).first()[0] or 0.0) > ENOUGH:
             break
+    else:
+        raise ArithmeticError(f"the rates of some source did not settle in {ITERATIONS} iterations")
     return state.select("key", "source_size", "target", "full", "scale", "multiplier")
 
 
@@ -100,17 +107,25 @@ def mix(documents: DataFrame) -> DataFrame:
     # Mean rates of sizes: running sums of the fractions over a source, by size, then document.
     x = F.col("size") / F.col("scale")
     w = F.when(F.col("full") | (F.col("size") == 0), F.lit(float(MOST))).otherwise(rate(F.col("multiplier"), x))
-    part_of = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(PARTS)).cast("int")
+    band = F.floor(4 * F.log2(F.col("size") + 1.0)).cast("int")
+    parts = histogram.groupBy("key", band.alias("band")).agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("parts"))
+    parts = materialise(parts)
+    part_of = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts")).cast("int")
     # Rates as whole numbers of 2^-40 copies: sums are exact, so their order does not matter.
     unit = 1 << 40
-    docs = rows.join(small(solved, solved.count()), "key").withColumn("rate", w).withColumn("part_no", part_of)
+    docs = rows.join(small(solved, solved.count()), "key").withColumn("rate", w).withColumn("band", band)
+    docs = docs.join(small(parts, parts.count()), ["key", "band"]).withColumn("part_no", part_of).drop("parts")
     docs = docs.withColumn("units", F.round(F.col("rate") * unit).cast("long"))
     docs = docs.withColumn("copies", F.shiftright("units", 40)).withColumn("fraction", F.col("units") - F.shiftleft("copies", 40))
-    docs = materialise(docs.withColumn("band", F.floor(4 * F.log2(F.col("size") + 1.0)).cast("int")))
-    cells = docs.groupBy("key", "band", "part_no").agg(F.sum(F.col("fraction").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"))
-    earlier = Window.partitionBy("key").orderBy("band", "part_no").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("key", "band", "part_no", F.pmod(F.coalesce(F.sum("total").over(earlier), F.lit(0).cast("decimal(38,0)")), F.lit(unit).cast("decimal(38,0)")).cast("long").alias("before"))
-    cells = materialise(cells)
+    docs = materialise(docs)
+    # What comes before a part: the source's lower bands (few), then the band's lower parts (one row for PART_ROWS documents).
+    whole = F.lit(unit).cast("decimal(38,0)")
+    cells = docs.groupBy("key", "band", "part_no").agg(F.pmod(F.sum(F.col("fraction").cast("decimal(20,0)")).cast("decimal(38,0)"), whole).cast("long").alias("total"))
+    bands = cells.groupBy("key", "band").agg(F.sum("total").alias("total"))
+    lower = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("key", "band", F.coalesce(F.sum("total").over(lower("key", "band")), F.lit(0)).alias("base"))
+    cells = cells.join(bands, ["key", "band"]).withColumn("own", F.coalesce(F.sum("total").over(lower("key", "band", "part_no")), F.lit(0)))
+    cells = materialise(cells.select("key", "band", "part_no", F.pmod(F.col("base") + F.col("own"), F.lit(unit)).alias("before")))
     docs = docs.join(small(cells, cells.count()), ["key", "band", "part_no"])
     running = Window.partitionBy("key", "band", "part_no").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + unit // 2 + F.sum("fraction").over(running)
@@ -138,10 +153,11 @@ def _settle(docs: DataFrame) -> DataFrame:
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """The rows of `documents`, each as often as the mix takes it whole; those it doesn't take are gone."""
-    copies = mix(documents).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = materialise(copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies"))
-    sized = documents.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    both = sized.join(small(copies, copies.count()), same)
-    return both.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    """The rows of `documents`, each as often as the mix takes it whole, all columns as they are; those it doesn't take are gone."""
+    copies = mix(documents).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
+    copies = materialise(copies.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), "size", "n"))
+    rows = documents.select(F.struct("*").alias("d"))
+    words = F.coalesce(F.regexp_count("d.text", F.lit(WORDS)), F.lit(0)).cast("long")
+    same = F.col("d.doc_id").eqNullSafe(F.col("i")) & F.col("d.source").eqNullSafe(F.col("s")) & (words == F.col("size"))
+    both = rows.join(small(copies, copies.count()), same).select("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("turn"))
+    return both.select(*[F.col("d")[c].alias(c) for c in documents.columns])

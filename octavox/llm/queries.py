@@ -56,10 +56,10 @@ def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`pages` has no dates: fetch days and a dated list are derived from page ids, as stated in the README."""
     day = lambda factor: F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * factor, F.lit(365)).cast("int"))
     captures = pages.select("page_id", "url", day(7919).alias("fetched_on"))
-    host = F.regexp_extract(F.lower("url"), urlfilter.HOST, 1)
+    host = urlfilter.host_of(F.col("url"))
     labels = F.split(host, r"\.")
     turn = F.pmod("page_id", F.lit(16))
-    pattern = F.when(turn == 3, host).when(turn == 7, F.array_join(F.slice(labels, -2, 2), ".")).when(turn == 11, F.regexp_replace(F.lower("url"), "[?#].*$", ""))
+    pattern = F.when(turn == 3, host).when(turn == 7, F.array_join(F.slice(labels, -2, 2), ".")).when(turn == 11, urlfilter.plain(F.col("url")))
     action = F.when(F.pmod(F.floor(F.col("page_id") / 16), F.lit(3)) != 0, "block").otherwise("unblock")
     entries = pages.where(turn.isin(3, 7, 11) & (F.size(labels) >= 2)).select(pattern.alias("pattern"), day(104729).alias("dated"), action.alias("action"), F.col("page_id").alias("seq"))
     return captures, entries
@@ -88,19 +88,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
-OP6_SQL = r"""
-WITH p AS (SELECT page_id, lower(url) AS u, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1) AS host,
-    DATE '2024-01-01' + CAST((page_id * 7919) % 365 AS INTEGER) AS fetched_on FROM pages WHERE page_id IS NOT NULL),
-l AS (SELECT CASE page_id % 16 WHEN 3 THEN host WHEN 7 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE regexp_replace(u, '[?#].*$', '') END AS pattern,
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)(:[0-9]*)?([^?#]*)"
+OP6_SQL = rf"""
+WITH h AS (SELECT row_number() OVER () AS capture, page_id, url, regexp_replace(lower(regexp_extract(url, '{_URL}', 2)), '\.$', '') AS host,
+    DATE '2024-01-01' + CAST((page_id * 7919) % 365 AS INTEGER) AS fetched_on FROM pages),
+p AS (SELECT *, CASE WHEN host <> '' THEN lower(regexp_extract(url, '{_URL}', 1)) || '://' || host || regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '{_URL}', 4)
+    ELSE coalesce(regexp_replace(url, '[?#].*$', ''), '') END AS u FROM h),
+l AS (SELECT CASE page_id % 16 WHEN 3 THEN host WHEN 7 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE u END AS pattern,
     DATE '2024-01-01' + CAST((page_id * 104729) % 365 AS INTEGER) AS dated, page_id AS seq,
     CASE WHEN (page_id // 16) % 3 <> 0 THEN 'block' ELSE 'unblock' END AS action
     FROM p WHERE page_id % 16 IN (3, 7, 11) AND len(string_split(host, '.')) >= 2),
 d AS (SELECT pattern, dated, arg_max(action, seq) AS action FROM l GROUP BY ALL),
 s AS (SELECT pattern, dated AS since, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS until, action FROM d),
-c AS (SELECT page_id, fetched_on, host, 0 AS specificity, regexp_replace(u, '[?#].*$', '') AS pattern FROM p
-    UNION ALL SELECT page_id, fetched_on, host, i, array_to_string(string_split(host, '.')[i:], '.') FROM p, LATERAL (SELECT unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i)),
-j AS (SELECT c.page_id, host, fetched_on, specificity, s.pattern AS listed FROM c LEFT JOIN s ON c.pattern = s.pattern AND s.action = 'block' AND fetched_on >= since AND (until IS NULL OR fetched_on < until))
-SELECT page_id, host, fetched_on, count(listed) AS n_active, count(listed) > 0 AS blocked, arg_min(listed, specificity) FILTER (WHERE listed IS NOT NULL) AS matched FROM j GROUP BY page_id, host, fetched_on
+c AS (SELECT capture, page_id, fetched_on, host, 0 AS specificity, u AS pattern FROM p
+    UNION ALL SELECT capture, page_id, fetched_on, host, i, array_to_string(string_split(host, '.')[i:], '.') FROM p, LATERAL (SELECT unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i)),
+j AS (SELECT c.capture, c.page_id, host, fetched_on, specificity, s.pattern AS listed FROM c LEFT JOIN s ON c.pattern = s.pattern AND s.action = 'block' AND fetched_on >= since AND (until IS NULL OR fetched_on < until))
+SELECT page_id, host, fetched_on, count(listed) AS n_active, count(listed) > 0 AS blocked, arg_min(listed, specificity) FILTER (WHERE listed IS NOT NULL) AS matched FROM j GROUP BY capture, page_id, host, fetched_on
 """
 
 _REACH = """
