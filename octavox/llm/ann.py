@@ -13,8 +13,12 @@ from .common import partitions, ragged
 SUBSPACE, CENTROIDS, FIT_ROWS = 2, 16, 10_000
 #: Weight of the residual along the vector against the residual across it.
 PARALLEL_WEIGHT = 4.0
-#: Code blocks at least, vectors of a block and of a query block at most; per block and query, candidates that set the first threshold.
-BLOCKS, BLOCK_ROWS, QUERY_ROWS, RERANK = 64, 8192, 4096, 48
+#: Code blocks at least, vectors of a block and of a query block at most; per block and query, candidates that set the
+#: first threshold; queries of a block that are scanned at a time.
+BLOCKS, BLOCK_ROWS, QUERY_ROWS, RERANK, TURN = 24, 32_768, 16_384, 48, 128
+#: Cosine of a query and a code from which on a residual is bounded strictly; below, the standard deviations that it is
+#: given, as it then has no favoured direction among those across the code.
+ALIKE, SPREAD = 0.6, 4.5
 
 
 def valid(embedding: str, dimension: int):
@@ -108,18 +112,25 @@ def residuals(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.n
     return scale, np.sqrt(((x - scale[:, None] * coded) ** 2).sum(1)), np.sqrt(square)
 
 
-def upper(rough: np.ndarray, scale: np.ndarray, left: np.ndarray, size: np.ndarray, norm: float) -> np.ndarray:
-    """No exact product of a query of length `norm` exceeds this: what the code leaves lies across it, so only the query's part across it counts."""
+def upper(rough: np.ndarray, scale: np.ndarray, left: np.ndarray, size: np.ndarray, norm: float, dimension: int) -> np.ndarray:
+    """What the exact products with a query of length `norm` may come to: what the code leaves lies across it, so only
+    the query's part across it counts.
+
+    Where query and code are alike (near copies of each other, above all) the residual may lie along the query: no
+    exact product exceeds the bound there. Elsewhere it is given SPREAD standard deviations of a random direction.
+    """
     slip = 1e-5 * norm * size  # more than the rounding of the scan's single-precision sums
     along = np.divide(np.maximum(np.abs(rough) - slip, 0), size, out=np.zeros(len(size)), where=size > 0)
-    most = scale * rough + np.abs(scale) * slip + left * np.sqrt(np.maximum(norm * norm - along * along, 0)) * (1 + 1e-9)
+    across = left * np.sqrt(np.maximum(norm * norm - along * along, 0)) * (1 + 1e-9)
+    across[along < ALIKE * norm] *= min(1.0, SPREAD / max(1, dimension - 1) ** 0.5)
+    most = scale * rough + np.abs(scale) * slip + across
     return np.where(np.isfinite(most), most + 1e-9 * norm * (left + size), np.inf)
 
 
 def rerank(block: pd.DataFrame, rows: np.ndarray, rough: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, top: int, depth: int) -> pd.DataFrame:
     """For each query its `top` rows by exact product, ties to smaller ids; `block` has one row a vector with its sorted ids.
 
-    The `depth` vectors of largest bound set a threshold; every vector whose bound reaches it is multiplied exactly.
+    The `depth` vectors of largest allowance set a threshold; every vector whose allowance reaches it is multiplied exactly.
     """
     scale, left, size = (block[c].to_numpy(np.float64) for c in ("scale", "remains", "size"))
     lengths, flat = block["ids"].map(len).to_numpy(np.int64), np.concatenate(block["ids"].to_numpy())
@@ -129,7 +140,7 @@ def rerank(block: pd.DataFrame, rows: np.ndarray, rough: np.ndarray, query_ids:
     found: list[tuple] = []
     for k, q in enumerate(queries):
         norm = float(np.sqrt((q * q).sum()))
-        most, slack = upper(rough[k].astype(np.float64), scale, left, size, norm), 1e-12 * norm * longest
+        most, slack = upper(rough[k].astype(np.float64), scale, left, size, norm, rows.shape[1]), 1e-12 * norm * longest
         most[(low == query_ids[k]) & (high == query_ids[k])] = -np.inf
         near = np.flatnonzero((most >= floors[k]) & (most > -np.inf))
         if len(near) > depth >= top:
@@ -154,9 +165,9 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
 
     `vectors` has vec_id (long) and embedding (array of float); `is_query` is a boolean column that marks the
     queries. Every different vector is coded once; the codebooks are fitted on FIT_ROWS rows at most. Codes are
-    scanned block by block, and all vectors of a block are multiplied exactly whose scanned product plus the bound of
-    their residual reaches the block's `top`th exact product of the first `depth`, or the `top`th among the fitting
-    rows; no nearer row is lost. Of the copies of a vector the smallest top + 1 ids take part. Vectors that are
+    scanned block by block, and all vectors of a block are multiplied exactly whose scanned product plus the allowance
+    for their residual (see `upper`) reaches the block's `top`th exact product of the first `depth`, or the `top`th
+    among the fitting rows; there is no cap on their number. Of the copies of a vector the smallest top + 1 ids take part. Vectors that are
     null, zero, of another length than the commonest or with null or non-finite components take no part, nor do
     rows without an id; an empty table gives no rows; repeated ids are candidates of their own. Other columns are
     not read.
@@ -215,8 +226,8 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
         packed = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(left), -1)[:, : len(books)]
         x, found = matrix(left["embedding"], np.float64), []
-        for begin in range(0, len(right), 256):
-            part = right.iloc[begin : begin + 256]
+        for begin in range(0, len(right), TURN):
+            part = right.iloc[begin : begin + TURN]
             q = matrix(part["query"], np.float64)
             found.append(rerank(left, x, scan(codes, q, books), part["query_id"].to_numpy(), q, part["floor"].to_numpy(), top, depth))
         return pd.concat(found)
