@@ -3,8 +3,9 @@
 A text becomes characters; an agenda of adjacent symbol pairs, ordered by the score of the piece that a pair makes
 and then from the left, is worked off until no pair makes a piece. No piece of such a vocabulary holds a word mark
 behind another character, so the runs from one word mark to the next have agendas of their own; they are worked off
-together, one array row each, and a run met before is looked up by a 64-bit hash. One in CHECKED_SHARE of the runs met
-for the first time is checked against the sentencepiece library in the same Arrow batch; any difference is an error.
+together, one array row each, and a run met before is looked up by a 64-bit hash, with its length and a second hash to
+confirm it. One in CHECKED_SHARE of the runs met for the first time, and one in CHECKED_TEXTS of the whole texts, are
+checked against the sentencepiece library in the same Arrow batch; any difference is an error.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from .common import ragged, string_array
 
 MARK = "▁"
 #: Runs kept per Python worker before the memory of runs is emptied, symbols up to which a run is a row of an array,
-#: characters that are cut into runs at a time, and one in how many new runs is checked against the library.
-KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE = 600_000, 40, 1_000_000, 8
+#: characters that are cut into runs at a time, and one in how many new runs and texts is checked against the library.
+KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE, CHECKED_TEXTS = 600_000, 40, 1_000_000, 8, 16
 #: Ids that are decoded at a time.
 DECODED_IDS = 1_000_000
 _KNOWN_BITS, _FACTOR = 21, 0xC2B2AE3D27D4EB4F
 _UNKNOWN = 1 << 15  # ids from here on are characters that the vocabulary lacks
+#: Spaces, a ligature, a circled digit and controls, which normalisers other than the identity change.
+_PROBE = "  A\u00e9 \ufb01\u2460  x\t\n y "
 _models: dict[str, "Model"] = {}
 
 
@@ -37,6 +40,8 @@ class Model:
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        if lib.normalize(_PROBE) != MARK + _PROBE.replace(" ", MARK):
+            raise ValueError("the model changes characters before it encodes; runs are cut from texts as they are")
         size = lib.get_piece_size()
         special = [lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) for i in range(size)]
         pieces = [lib.id_to_piece(i) for i in range(size)]
@@ -92,6 +97,7 @@ class Model:
     def forget(self) -> None:
         self.known_keys, self.known_place = np.zeros(1 << _KNOWN_BITS, np.uint64), np.zeros(1 << _KNOWN_BITS, np.int32)
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.marks = np.zeros(0, np.uint64)
 
     def rest(self) -> None:
         """Give back what a task gathered: an idle worker holds the vocabulary alone."""
@@ -240,10 +246,15 @@ class Model:
             more = more[~hit & (found != 0)]
         return out
 
-    def keep(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        places = len(self.lengths) + np.arange(len(hashes))
+    def add(self, marks: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of runs that are stored but can't be found by their hash."""
+        places = len(self.lengths) + np.arange(len(marks))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.lengths, self.flat = np.concatenate([self.lengths, counts]), np.concatenate([self.flat, flat])
+        self.lengths, self.flat, self.marks = np.concatenate([self.lengths, counts]), np.concatenate([self.flat, flat]), np.concatenate([self.marks, marks])
+        return places
+
+    def keep(self, hashes: np.ndarray, marks: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        places = self.add(marks, flat, counts)
         at, rest = (hashes >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64), np.arange(len(hashes))
         while len(rest):
             free = rest[self.known_keys[at[rest]] == 0]
@@ -278,7 +289,7 @@ class Model:
             points, starts, first = self.cut(texts[begin:end])
             if len(starts):
                 sizes = np.diff(np.append(starts, len(points)))
-                hashes = self.hashes(points, starts, sizes)
+                hashes, marks = self.hashes(points, starts, sizes)
                 which = self.find(hashes)
                 if len(missing := np.flatnonzero(which < 0)):
                     if len(self.lengths) + len(missing) > KEPT_RUNS:
@@ -288,32 +299,41 @@ class Model:
                     once = missing[once]
                     flat, n_ids = self.agendas(points, starts[once], sizes[once])
                     self.check(points, starts[once], sizes[once], flat, n_ids)
-                    which[missing] = self.keep(new, flat, n_ids)[back]
+                    which[missing] = self.keep(new, marks[once], flat, n_ids)[back]
+                if len(other := np.flatnonzero(self.marks[which] != marks)):  # a run of another's hash
+                    which[other] = self.add(marks[other], *self.agendas(points, starts[other], sizes[other]))
                 lengths = self.lengths[which]
                 out.append(self.flat[ragged(self.starts[which], lengths)])
                 counts[begin + 1 : end + 1] = np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
             begin = end
-        return np.concatenate(out), np.cumsum(counts)
-
-    def hashes(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """64-bit polynomial hashes of the runs, from one running sum; never 0."""
+        ids, ends = np.concatenate(out), np.cumsum(counts)
+        own = range(0, len(texts), CHECKED_TEXTS)
+        for k, want in zip(own, self.library.encode([texts[k] for k in own], num_threads=1), strict=True):
+            if ids[ends[k] : ends[k + 1]].tolist() != want:
+                raise AssertionError(f"the agenda and the sentencepiece library differ on a text that begins {texts[k][:80]!r}")
+        return ids, ends
+
+    def hashes(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit polynomial hashes of the runs (never 0), and marks: a second hash, of other numbers for the characters, with the length in it."""
         n = len(points)
         if len(self.power) < n:
             self.power, self.inverse = np.ones(n, np.uint64), np.ones(n, np.uint64)
             self.power[1:], self.inverse[1:] = _FACTOR, pow(_FACTOR, -1, 1 << 64)
             np.cumprod(self.power, out=self.power)
             np.cumprod(self.inverse, out=self.inverse)
-        v = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        v ^= v >> np.uint64(31)
-        v *= self.power[:n]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(v, out=sums[1:])
-        h = (sums[starts + sizes] - sums[starts]) * self.inverse[starts]
+        sums, both = np.zeros(n + 1, np.uint64), []
+        for number, shift in ((0x9E3779B97F4A7C15, 31), (0xBF58476D1CE4E5B9, 29)):
+            v = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(number)
+            v ^= v >> np.uint64(shift)
+            v *= self.power[:n]
+            np.cumsum(v, out=sums[1:])
+            both.append((sums[starts + sizes] - sums[starts]) * self.inverse[starts])
+        h = both[0]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        return np.maximum(h, np.uint64(1))
+        return np.maximum(h, np.uint64(1)), both[1] * np.uint64(0x94D049BB133111EB) + sizes.astype(np.uint64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of each sequence and their offsets; a word mark that begins a text is no space."""
