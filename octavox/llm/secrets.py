@@ -29,7 +29,7 @@ _CLASS = "[A-Za-z0-9+/_=-]"
 #: Tokens tested for randomness: maximal runs by length and characters, with a digit and a letter (dates, rules and words have not both).
 TOKEN = rf"(?<!{_CLASS})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){_CLASS}{{20,}}"
 #: Words whose pairs of characters stand for ordinary text: shorter runs, and longer ones without a digit or a letter.
-ORDINARY, LEAST_TESTED = rf"(?<!{_CLASS}){_CLASS}{{8,}}", 20
+ORDINARY, LEAST_TESTED = rf"(?<!{_CLASS}){_CLASS}{{10,}}", 20
 #: Level at which a test rejects randomness, and the false-discovery rate.
 REJECT, RATE = 0.001, 0.001
 #: Encodings that a token's is chosen from, and characters that a token may have.
