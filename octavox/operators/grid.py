@@ -1,63 +1,145 @@
-"""Morphology and set operations on voxel rows and words: one grouped pass each, no neighbour joins."""
+"""Morphology and set operations on words (shape_id, block, bits): 64 voxels at a time, without voxel rows or neighbour joins.
+
+A step sends each word's six moved copies to its own and the next blocks and merges them there. All of a shape's words
+lie in one partition, so that any number of steps needs one shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-TWENTY_SIX = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
+from octavox.functions import words as w
+
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def together(words: DataFrame) -> DataFrame:
+    """The words, those of a shape in one partition."""
+    return words.repartition("shape_id")
+
+
+def _moved(words: DataFrame, levels: int, directions, column: str, *keep: str) -> DataFrame:
+    """shape_id, block, `keep`, and n0, n1, ...: for each direction the cells whose neighbour there is set in `column`."""
+    names = [f"n{k}" for k in range(len(directions))]
+    word, block = F.col(column), F.col("block")
+    # The neighbour in a direction is set where the word, moved the other way, is set.
+    own = F.struct(block.alias("block"), *[F.col(c).alias(c) for c in keep], *[w.inner(word, a, -s).alias(n) for n, (a, s) in zip(names, directions, strict=True)])
+    sent = [own]
+    for n, (a, s) in zip(names, directions, strict=True):
+        carry = w.carried(word, a, -s)
+        there = F.struct(w.next_block(block, a, -s, levels).cast("int").alias("block"), *[_zero().alias(c) for c in keep], *[(carry if m == n else _zero()).alias(m) for m in names])
+        sent.append(F.when((carry != 0) & ~w.at_edge(block, a, -s, levels), there))
+    rows = words.select("shape_id", F.explode(F.array(*sent)).alias("m")).where("m is not null").select("shape_id", "m.*")
+    return rows.groupBy("shape_id", "block").agg(*[F.bit_or(c).alias(c) for c in (*keep, *names)])
 
 
-def _shifts(offsets):
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in offsets])
+def neighbours(words: DataFrame, levels: int) -> DataFrame:
+    """shape_id, block, bits, n0 .. n5 (cells whose neighbour in direction k of `SIX` is set; out of the grid none is)."""
+    return _moved(words, levels, w.SIX, "bits", "bits")
 
 
-def neighbours(voxels: DataFrame, side: int, offsets=None) -> DataFrame:
-    """shape_id, x, y, z, self (the voxel is set), near (set neighbours), outside (neighbours out of the grid)."""
-    offsets = offsets or SIX
-    spread = voxels.select("shape_id", "x", "y", "z", F.explode(_shifts([(0, 0, 0), *offsets])).alias("o"))
-    at = spread.select("shape_id", *[(F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip("xyz", "ijk", strict=True)], (F.expr("o.i = 0 and o.j = 0 and o.k = 0")).alias("own"))
-    at = at.where(" and ".join(f"{c} between 0 and {side - 1}" for c in "xyz"))
-    out = sum(((~((F.col("x") + i).between(0, side - 1) & (F.col("y") + j).between(0, side - 1) & (F.col("z") + k).between(0, side - 1))).cast("int") for i, j, k in offsets), F.lit(0))
-    return at.groupBy("shape_id", "x", "y", "z").agg(F.max("own").alias("self"), F.count_if(~F.col("own")).alias("near")).withColumn("outside", out)
+def _or(columns) -> Column:
+    columns = list(columns)
+    out = columns[0]
+    for c in columns[1:]:
+        out = out.bitwiseOR(c)
+    return out
 
 
-def shrink(voxels: DataFrame, side: int) -> DataFrame:
-    """A step of erosion: voxels whose six neighbours are all set; those out of the grid count as set."""
-    return neighbours(voxels, side).where("self and near + outside = 6").select("shape_id", "x", "y", "z")
+def _kept(words: DataFrame, levels: int, directions=w.SIX) -> Column:
+    """Cells whose neighbours in all directions are set or out of the grid."""
+    out = F.col("bits")
+    for k, (a, s) in enumerate(directions):
+        out = out.bitwiseAND(F.col(f"n{k}").bitwiseOR(w.outside(F.col("block"), a, s, levels)))
+    return out
 
 
-def grow(voxels: DataFrame, side: int) -> DataFrame:
-    """A step of dilation by the six neighbours, within the grid."""
-    return neighbours(voxels, side).select("shape_id", "x", "y", "z")
+def _result(frame: DataFrame, bits: Column) -> DataFrame:
+    return frame.select("shape_id", "block", bits.alias("bits")).where("bits <> 0")
 
 
 def steps(amount: float, resolution: float) -> int:
-    return max(0, -int(-amount // resolution))
+    """Cells that an amount takes: every begun one counts."""
+    return max(0, math.ceil(round(abs(amount) / resolution, 9)))
+
+
+def shrink(words: DataFrame, levels: int, n: int = 1) -> DataFrame:
+    """n steps of erosion: cells whose six neighbours are all set; those out of the grid count as set."""
+    words = together(words)
+    for _ in range(n):
+        near = neighbours(words, levels)
+        words = _result(near, _kept(near, levels))
+    return words
+
+
+def grow(words: DataFrame, levels: int, n: int = 1) -> DataFrame:
+    """n steps of dilation by the six neighbours, within the grid."""
+    words = together(words)
+    for _ in range(n):
+        words = _result(neighbours(words, levels), _or(F.col(c) for c in ("bits", *(f"n{k}" for k in range(6)))))
+    return words
+
+
+def exposed(words: DataFrame, levels: int) -> DataFrame:
+    """Cells with a neighbour in the grid that is not set."""
+    near = neighbours(together(words), levels)
+    return _result(near, F.col("bits").bitwiseAND(F.bitwise_not(_kept(near, levels))))
+
+
+def interior(words: DataFrame, levels: int) -> DataFrame:
+    """Cells of whose 26 neighbours all are set or out of the grid: an erosion along each axis."""
+    words = together(words)
+    for axis in range(3):
+        pair = [(axis, 1), (axis, -1)]
+        near = _moved(words, levels, pair, "bits", "bits")
+        words = _result(near, _kept(near, levels, pair))
+    return words
+
 
+def solitary(words: DataFrame, levels: int) -> DataFrame:
+    """Cells none of whose 26 neighbours is set. `wide` grows axis by axis; what a step adds to a cell are its neighbours."""
+    words = together(words).withColumn("wide", F.col("bits")).withColumn("near", _zero())
+    for axis in range(3):
+        moved = _moved(words, levels, [(axis, 1), (axis, -1)], "wide", "bits", "wide", "near")
+        added = _or([F.col("n0"), F.col("n1")])
+        words = moved.select("shape_id", "block", "bits", F.col("wide").bitwiseOR(added).alias("wide"), F.col("near").bitwiseOR(added).alias("near"))
+    return _result(words, F.col("bits").bitwiseAND(F.bitwise_not("near")))
 
-def exposed(voxels: DataFrame, side: int) -> DataFrame:
-    """Voxels with a neighbour in the grid that is not set."""
-    return neighbours(voxels, side).where("self and near + outside < 6").select("shape_id", "x", "y", "z")
 
+def face_counts(words: DataFrame, levels: int) -> DataFrame:
+    """shape_id, faces: unit faces between a set cell and one that isn't set or is out of the grid."""
+    near = neighbours(together(words), levels)
+    each = sum((F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(f"n{k}"))) for k in range(6)), F.lit(0))
+    return near.groupBy("shape_id").agg(F.sum(each).cast("long").alias("faces")).where("faces > 0")
 
-def interior(voxels: DataFrame, side: int) -> DataFrame:
-    return neighbours(voxels, side, TWENTY_SIX).where("self and near + outside = 26").select("shape_id", "x", "y", "z")
 
+def faces(words: DataFrame, levels: int) -> DataFrame:
+    """The surface as a mesh: a row (shape_id, block, cell, axis, sign) for each exposed side of a cell; `square` has its corners."""
+    near = neighbours(together(words), levels)
+    side = [F.struct(F.lit(a).alias("axis"), F.lit(s).alias("sign"), F.col("bits").bitwiseAND(F.bitwise_not(f"n{k}")).alias("bits")) for k, (a, s) in enumerate(w.SIX)]
+    each = near.select("shape_id", "block", F.explode(F.array(*side)).alias("s")).select("shape_id", "block", "s.*").where("bits <> 0")
+    return each.select("shape_id", "block", F.explode(w.cells("bits")).alias("cell"), "axis", "sign")
 
-def solitary(voxels: DataFrame, side: int) -> DataFrame:
-    return neighbours(voxels, side, TWENTY_SIX).where("self and near = 0").select("shape_id", "x", "y", "z")
 
+def square(x: Column, y: Column, z: Column, axis: Column, sign: Column) -> Column:
+    """The four corners (x, y, z) of a cell's side, in turn; corners 0 1 2 and 0 2 3 are its two triangles."""
+    p = [x, y, z]
 
-def faces(voxels: DataFrame, side: int) -> DataFrame:
-    """Unit faces of the surface: a row (shape_id, x, y, z, axis, sign) for each exposed side of a voxel.
+    def corner(u: int, v: int) -> Column:
+        out = F.struct(*[F.lit(None).cast("int").alias(c) for c in "xyz"])
+        for a in range(3):
+            b, c = (a + 1) % 3, (a + 2) % 3
+            at = {a: p[a] + F.when(sign > 0, 1).otherwise(0), b: p[b] + u, c: p[c] + v}
+            out = F.when(axis == a, F.struct(*[at[k].cast("int").alias(n) for k, n in enumerate("xyz")])).otherwise(out)
+        return out
 
-    Every voxel names its six sides by the plane between two cells; a plane named once is on the surface.
-    """
-    spread = voxels.select("shape_id", "x", "y", "z", F.posexplode(_shifts(SIX)).alias("side", "o"))
-    plane = spread.select("shape_id", *[(F.col(c) + F.greatest(F.col(f"o.{o}"), F.lit(0))).alias(c) for c, o in zip("xyz", "ijk", strict=True)], F.floor(F.col("side") / 2).cast("int").alias("axis"), F.when(F.col("side") % 2 == 0, 1).otherwise(-1).alias("sign"))
-    return plane.groupBy("shape_id", "x", "y", "z", "axis").agg(F.count("*").alias("n"), F.max("sign").alias("sign")).where("n = 1").drop("n")
+    return F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
 
 
 def envelopes(words: DataFrame, group: str) -> DataFrame:
@@ -67,16 +149,48 @@ def envelopes(words: DataFrame, group: str) -> DataFrame:
     return blocks.join(members, group).select(group, "block", F.when(F.col("m") == F.col("n"), F.col("all")).otherwise(F.lit(0).cast("long")).alias("miv"), "msv", "n")
 
 
-def invert(words: DataFrame, blocks: int) -> DataFrame:
+def invert(words: DataFrame, levels: int) -> DataFrame:
     """Complement of each shape over all blocks of the cube, those that it lacks included."""
-    have = words.groupBy("shape_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("w"))
-    every = have.select("shape_id", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return every.select("shape_id", "block", F.expr("~coalesce(w[block], 0L)").alias("bits")).where("bits <> 0")
+    spine = words.select("shape_id").distinct().select("shape_id", F.explode(F.sequence(F.lit(0), F.lit((1 << 3 * (levels - 2)) - 1))).alias("block"), F.lit(0).cast("long").alias("bits"))
+    return together(words.select("shape_id", "block", "bits").union(spine)).groupBy("shape_id", "block").agg(F.bit_or("bits").alias("b")).select("shape_id", "block", F.bitwise_not("b").alias("bits")).where("bits <> 0")
+
+
+def combine(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Shapes of the same id put together: `and`, `or` or `minus` (the left's cells that the right lacks)."""
+    both = left.select("shape_id", "block", F.col("bits").alias("a"), F.lit(0).cast("long").alias("b")).union(right.select("shape_id", "block", F.lit(0).cast("long"), "bits"))
+    one = both.groupBy("shape_id", "block").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return _result(one, {"and": a.bitwiseAND(b), "or": a.bitwiseOR(b), "minus": a.bitwiseAND(F.bitwise_not(b))}[how])
+
+
+def shaped(words: DataFrame, levels: int, resolution: float, amount: float = 0.0, inverted: bool = False, mask: DataFrame | None = None) -> DataFrame:
+    """A query's shape: shrunk by an amount (grown by a negative one), inverted, and cut to a mask of the same ids, in this order."""
+    n = steps(amount, resolution)
+    if n:
+        words = shrink(words, levels, n) if amount > 0 else grow(words, levels, n)
+    if inverted:
+        words = invert(words, levels)
+    return combine(words, mask, "and") if mask is not None else words
+
+
+def coarser(words: DataFrame, up: int, fill: bool) -> DataFrame:
+    """shape_id, octant: cells of 2 ** up voxels a side that hold a voxel (`fill`), or that are full."""
+    byte = lambda k: F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255))
+    ok = lambda c, full: (c != 0) if fill else (c == full)
+    if up == 0:
+        return words.select("shape_id", F.col("block").cast("long").alias("b"), F.explode(w.cells("bits")).alias("c")).select("shape_id", (F.col("b") * 64 + F.col("c")).alias("octant"))
+    if up == 1:
+        each = F.filter(F.array(*[F.when(ok(byte(k), 255), F.lit(k)) for k in range(8)]), lambda k: k.isNotNull())
+        return words.select("shape_id", F.col("block").cast("long").alias("b"), F.explode(each).alias("c")).select("shape_id", (F.col("b") * 8 + F.col("c")).alias("octant"))
+    rest = 3 * (up - 2)
+    kept = words.where(ok(F.col("bits"), -1)).groupBy("shape_id", F.shiftright(F.col("block").cast("long"), rest).alias("octant")).agg(F.count("*").alias("m"))
+    return kept.where(F.lit(True) if fill else F.col("m") == 1 << rest).select("shape_id", "octant")
 
 
 def occupied_by_depth(words: DataFrame, levels: int) -> DataFrame:
-    """shape_id, depth, n: octants with a set voxel at every depth (0: the cube)."""
-    bits = F.expr("filter(sequence(0, 63), b -> (shiftright(bits, b) & 1L) = 1L)")
-    codes = words.select("shape_id", "block", F.explode(bits).alias("b")).select("shape_id", (F.col("block") * 64 + F.col("b")).alias("code"))
-    at = codes.select("shape_id", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth"), "code").select("shape_id", "depth", F.expr(f"shiftright(code, 3 * ({levels} - depth))").alias("octant"))
-    return at.distinct().groupBy("shape_id", "depth").agg(F.count("*").alias("n"))
+    """shape_id, depth, n: octants with a set voxel at every depth (0: the cube), counted in the words."""
+    byte = lambda k: F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255))
+    octants = sum(((byte(k) != 0).cast("int") for k in range(8)), F.lit(0))
+    fine = words.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("v"), F.sum(octants).cast("long").alias("o"), F.count("*").alias("b"), *[F.count_distinct(F.shiftright("block", 3 * (levels - 2 - d))).alias(f"d{d}") for d in range(levels - 2)])
+    depths = [*[(d, F.col(f"d{d}")) for d in range(levels - 2)], (levels - 2, F.col("b")), (levels - 1, F.col("o")), (levels, F.col("v"))]
+    return fine.select("shape_id", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), n.cast("long").alias("n")) for d, n in depths])).alias("e")).select("shape_id", "e.*")

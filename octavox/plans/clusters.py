@@ -1,50 +1,59 @@
-"""Registered cluster aggregates, neighbour graphs and subset queries over all members, without a share or a cap.
-
-The queries of the same names without `_all` keep their SQL, which takes every 20th vector on one side or caps the points.
-"""
+"""Registered cluster aggregates, neighbour graphs and subset queries, over all members on both sides."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from octavox.operators import clusters, search
-from octavox.plans.queries import EMB, EVERY, LINK, REGISTRY, SQL, query
+from octavox.plans.queries import EMB, EVERY, REGISTRY, SQL, query
 from octavox.sources import shapes
 
+#: All vectors against all.
+WHOLE = EMB.replace(f"% {EVERY} = 0", "% 1 = 0")
+LINK = WHOLE + ", l AS (SELECT a.label AS query_label, b.label AS object_label, dist FROM d JOIN ids a ON a.id = query_id JOIN ids b ON b.id = object_id)"
 
-def whole(sql: str) -> str:
-    """The SQL with all vectors on both sides."""
-    return sql.replace(f"% {EVERY} = 0", "% 1 = 0")
+for _name, _column, _agg, _digits in (("complete", "complete", "max(dist)", None), ("single", "single", "min(dist)", None), ("total", "total", "round(sum(dist), 6)", 6), ("average", "average", "round(avg(dist), 9)", 9)):
+    SQL[f"linkage_{_name}"] = LINK + f" SELECT query_label, object_label, {_agg} AS dist FROM l GROUP BY ALL"
+    REGISTRY[f"linkage_{_name}"] = lambda spark, sf_dir, c=_column, n=_digits: clusters.linkage(shapes.sign_shapes(spark, sf_dir)).select("query_label", "object_label", (F.col(c) if n is None else F.round(c, n)).alias("dist"))
 
+MEANS = WHOLE + ", t AS (SELECT ids.label, query_id, round(avg(dist), 9) AS mean, max(dist) AS most FROM d JOIN ids ON ids.id = query_id JOIN ids b ON b.id = object_id AND b.label = ids.label GROUP BY ALL) "
 
-for _name, _column, _agg, _digits in (("complete", "complete", "max(dist)", None), ("single", "single", "min(dist)", None), ("total", "total", "round(sum(dist), 6)", 6), ("average", "average", "round(avg(dist), 9)", 9)):
-    SQL[f"linkage_{_name}_all"] = whole(LINK) + f" SELECT query_label, object_label, {_agg} AS dist FROM l GROUP BY ALL"
-    REGISTRY[f"linkage_{_name}_all"] = lambda spark, sf_dir, c=_column, n=_digits: clusters.linkage(shapes.sign_shapes(spark, sf_dir)).select("query_label", "object_label", (F.col(c) if n is None else F.round(c, n)).alias("dist"))
 
+@query(MEANS + "SELECT label, arg_min(query_id, (mean, query_id)) AS medoid, min(mean) AS mean FROM t GROUP BY label")
+def medoid(spark, sf_dir):
+    return clusters.medoids(shapes.sign_shapes(spark, sf_dir)).select("label", "medoid", "mean")
 
-@query(whole(SQL["medoid"]))
-def medoid_all(spark, sf_dir):
-    return clusters.medoids(shapes.sign_shapes(spark, sf_dir))
 
+@query(MEANS + "SELECT label, arg_min(query_id, (most, query_id)) AS medoid, min(most) AS most FROM t GROUP BY label")
+def medoid_by_radius(spark, sf_dir):
+    """The member whose farthest member is nearest."""
+    return clusters.medoids(shapes.sign_shapes(spark, sf_dir)).select("label", F.col("centre").alias("medoid"), "most")
 
-@query(whole(SQL["knn_graph"]))
-def knn_graph_all(spark, sf_dir):
+
+@query(WHOLE + "SELECT query_id AS src, object_id AS dst, dist AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, object_id) AS r FROM d WHERE query_id <> object_id) WHERE r <= 8")
+def knn_graph(spark, sf_dir):
     return clusters.knn(shapes.sign_shapes(spark, sf_dir), 8)
 
 
-@query(f"WITH e AS ({SQL['knn_graph_all']}) SELECT dst AS src, count(*)::BIGINT AS n, min(src) AS low FROM e GROUP BY dst")
-def reverse_neighbours_all(spark, sf_dir):
-    return knn_graph_all(spark, sf_dir).groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n"), F.min("src").alias("low"))
+@query(f"WITH e AS ({SQL['knn_graph']}) SELECT dst AS src, count(*)::BIGINT AS n, min(src) AS low FROM e GROUP BY dst")
+def reverse_neighbours(spark, sf_dir):
+    return knn_graph(spark, sf_dir).groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n"), F.min("src").alias("low"))
 
 
-@query(f"WITH e AS ({SQL['knn_graph_all']}) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
-def merged_neighbours_all(spark, sf_dir):
-    e = knn_graph_all(spark, sf_dir).select("src", "dst")
+@query(f"WITH e AS ({SQL['knn_graph']}) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def merged_neighbours(spark, sf_dir):
+    e = knn_graph(spark, sf_dir).select("src", "dst")
     return e.union(e.select("dst", "src")).distinct()
 
 
+@query(WHOLE + "SELECT query_id AS shape_id, round(sum(1.0::DOUBLE - dist), 6) AS degree FROM d GROUP BY query_id")
+def similarity_degree(spark, sf_dir):
+    """Row sums of the similarity matrix of all shapes."""
+    return clusters.degrees(shapes.sign_shapes(spark, sf_dir)).select("shape_id", F.round("degree", 6).alias("degree"))
+
+
 @query("WITH p AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1), g AS (SELECT id, n, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM p) SELECT id AS shape_id, mask::BIGINT AS mask, bit_count(mask)::INT AS points FROM g")
-def point_subsets_all(spark, sf_dir):
+def point_subsets(spark, sf_dir):
     """All subsets of every order's points."""
     p = shapes.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("shape_id")).agg(F.countDistinct("l_linenumber").cast("int").alias("n"))
     return p.select("shape_id", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")).alias("mask")).withColumn("points", F.bit_count("mask"))
@@ -58,7 +67,7 @@ SELECT q AS query_id, mask::BIGINT AS mask, count(*) FILTER (WHERE (h & mask) =
 
 
 @query(OCTANTS)
-def subset_search_all(spark, sf_dir):
+def subset_search(spark, sf_dir):
     """Shapes that hold each subset of a query's own points, the first voxel of each octant that it fills: counted by points held, then by subset."""
     w = shapes.sign_shapes(spark, sf_dir).select("shape_id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     by = w.groupBy("bits").agg(F.count("*").alias("m"))

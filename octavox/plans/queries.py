@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from octavox.functions import morton, words
 from octavox.operators import evaluate, grid, search
 from octavox.sources import shapes
 from octavox.sources.shapes import LEVELS, SIDE, read
@@ -222,7 +223,7 @@ def envelope_prune_nn(spark, sf_dir):
 
 @query(MOL + PER_SHAPE.format("m"))
 def sphere_voxelize(spark, sf_dir):
-    return _per_shape(_mol(spark, sf_dir))
+    return _counted(shapes.order_words(spark, sf_dir))
 
 
 def _mol(spark, sf_dir) -> DataFrame:
@@ -233,50 +234,76 @@ def _per_shape(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("shape_id").agg(F.count("*").alias("n"), F.sum(F.col("x") + 31 * F.col("y") + 961 * F.col("z")).alias("checksum"))
 
 
+def _counted(shape_words: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """`_per_shape` of words, whose voxels stay packed."""
+    sums = [words.coordinate_sum(F.col("block"), F.col("bits"), axis, levels) for axis in range(3)]
+    return shape_words.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("n"), F.sum(sums[0] + 31 * sums[1] + 961 * sums[2]).alias("checksum"))
+
+
 @query(NEAR + PER_SHAPE.format("(SELECT * FROM six WHERE n = k)"))
 def shrink(spark, sf_dir):
-    return _per_shape(grid.shrink(_mol(spark, sf_dir), SIDE))
+    return _counted(grid.shrink(shapes.order_words(spark, sf_dir), LEVELS))
 
 
-GROWN = MOL + f""", g AS (SELECT id, x, y, z FROM m UNION SELECT id, x + i, y + j, z + k FROM m, {SIX} WHERE x + i BETWEEN 0 AND {SIDE - 1} AND y + j BETWEEN 0 AND {SIDE - 1} AND z + k BETWEEN 0 AND {SIDE - 1})
-"""
+def _grown(name: str, source: str) -> str:
+    return f"{name} AS (SELECT id, x, y, z FROM {source} UNION SELECT id, x + i, y + j, z + k FROM {source}, {SIX} WHERE x + i BETWEEN 0 AND {SIDE - 1} AND y + j BETWEEN 0 AND {SIDE - 1} AND z + k BETWEEN 0 AND {SIDE - 1})"
+
+
+GROWN = MOL + f", {_grown('g', 'm')}\n"
 
 
 @query(GROWN + PER_SHAPE.format("g"))
 def grow(spark, sf_dir):
-    return _per_shape(grid.grow(_mol(spark, sf_dir), SIDE))
+    return _counted(grid.grow(shapes.order_words(spark, sf_dir), LEVELS))
+
+
+@query(MOL + f", {_grown('g', 'm')}, {_grown('h', 'g')}, {_grown('w', 'h')} " + PER_SHAPE.format("w"))
+def grow_by_amount(spark, sf_dir):
+    """Grown by 1.25 at a resolution of 0.5: three begun steps."""
+    return _counted(grid.shaped(shapes.order_words(spark, sf_dir), LEVELS, 0.5, -1.25))
 
 
-@query(NEAR + f", e AS (SELECT id, x, y, z FROM six WHERE n = k), g AS (SELECT id, x, y, z FROM e UNION SELECT id, x + i, y + j, z + k FROM e, {SIX} WHERE x + i BETWEEN 0 AND {SIDE - 1} AND y + j BETWEEN 0 AND {SIDE - 1} AND z + k BETWEEN 0 AND {SIDE - 1}) " + PER_SHAPE.format("g"))
+@query(NEAR + f", e AS (SELECT id, x, y, z FROM six WHERE n = k), {_grown('g', 'e')} " + PER_SHAPE.format("g"))
 def opening(spark, sf_dir):
-    return _per_shape(grid.grow(grid.shrink(_mol(spark, sf_dir), SIDE), SIDE))
+    return _counted(grid.grow(grid.shrink(shapes.order_words(spark, sf_dir), LEVELS), LEVELS))
 
 
 @query(NEAR + PER_SHAPE.format("(SELECT * FROM six WHERE n < k)"))
 def exposed(spark, sf_dir):
-    return _per_shape(grid.exposed(_mol(spark, sf_dir), SIDE))
+    return _counted(grid.exposed(shapes.order_words(spark, sf_dir), LEVELS))
 
 
 @query(NEAR + PER_SHAPE.format("(SELECT * FROM all26 WHERE n = k)"))
 def interior(spark, sf_dir):
-    return _per_shape(grid.interior(_mol(spark, sf_dir), SIDE))
+    return _counted(grid.interior(shapes.order_words(spark, sf_dir), LEVELS))
 
 
-@query(NEAR + PER_SHAPE.format("(SELECT * FROM all26 WHERE n = 0)"))
+# Solitary voxels of spheres don't exist, so the query looks for them among the molecules' atom centres.
+CENTRES = MOL.replace("i * i + j * j + k * k <= r * r", "i = 0 AND j = 0 AND k = 0")
+
+
+@query(NEAR.replace(MOL, CENTRES) + PER_SHAPE.format("(SELECT * FROM all26 WHERE n = 0)"))
 def solitary(spark, sf_dir):
-    return _per_shape(grid.solitary(_mol(spark, sf_dir), SIDE))
+    centres = shapes.to_words(shapes.sphere_voxels(shapes.order_atoms(spark, sf_dir).withColumn("r", F.lit(0))))
+    return _counted(grid.solitary(centres, LEVELS))
 
 
 @query(MOL + f"SELECT id AS shape_id, ({SIDE**3} - count(*))::BIGINT AS n FROM m GROUP BY id")
 def invert(spark, sf_dir):
-    w = grid.invert(shapes.order_words(spark, sf_dir), SIDE**3 // 64)
+    w = grid.invert(shapes.order_words(spark, sf_dir), LEVELS)
     return w.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("n"))
 
 
+@query(MOL + f", c AS (SELECT DISTINCT id, x, y, z FROM (SELECT l_orderkey AS id, unnest(range(0, {SIDE})) AS x FROM lineitem WHERE l_linenumber = 1) CROSS JOIN range(0, {SIDE}) b(y) CROSS JOIN range(0, {SIDE}) c(z)), {_grown('g', 'm')} " + PER_SHAPE.format("(SELECT * FROM (SELECT id, x, y, z FROM g EXCEPT SELECT id, x, y, z FROM m))"))
+def shell(spark, sf_dir):
+    """What one step of growth adds: the grown shape inside the complement of the shape itself."""
+    w = shapes.order_words(spark, sf_dir)
+    return _counted(grid.shaped(w, LEVELS, 1.0, -1.0, mask=grid.invert(w, LEVELS)))
+
+
 @query(MOL + "SELECT id AS shape_id, count(DISTINCT (x // 2, y // 2, z // 2))::BIGINT AS n FROM m GROUP BY id")
 def grid_downsample(spark, sf_dir):
-    half = _mol(spark, sf_dir).select("shape_id", *[F.floor(F.col(c) / 2).cast("int").alias(c) for c in "xyz"]).distinct()
-    return half.groupBy("shape_id").agg(F.count("*").alias("n"))
+    return grid.coarser(shapes.order_words(spark, sf_dir), 1, True).groupBy("shape_id").agg(F.count("*").alias("n"))
 
 
 @query(MOL + f"SELECT id AS shape_id, d::INT AS depth, count(DISTINCT (x >> ({LEVELS} - d), y >> ({LEVELS} - d), z >> ({LEVELS} - d)))::BIGINT AS n FROM m, range(0, {LEVELS + 1}) t(d) GROUP BY ALL")
@@ -286,7 +313,17 @@ def leaves_by_depth(spark, sf_dir):
 
 @query(MOL + f", f AS (SELECT m.id, count(*) AS faces FROM m, {SIX} WHERE NOT EXISTS (SELECT 1 FROM m t WHERE t.id = m.id AND t.x = m.x + i AND t.y = m.y + j AND t.z = m.z + k) GROUP BY m.id) SELECT id AS shape_id, faces::BIGINT AS faces FROM f")
 def surface_faces(spark, sf_dir):
-    return grid.faces(_mol(spark, sf_dir), SIDE).groupBy("shape_id").agg(F.count("*").alias("faces"))
+    return grid.face_counts(shapes.order_words(spark, sf_dir), LEVELS)
+
+
+@query(MOL + f", f AS (SELECT m.id, m.x, m.y, m.z, abs(j) + 2 * abs(k) AS axis, i + j + k AS sign FROM m, {SIX} WHERE NOT EXISTS (SELECT 1 FROM m t WHERE t.id = m.id AND t.x = m.x + i AND t.y = m.y + j AND t.z = m.z + k)) SELECT id AS shape_id, axis::INT AS axis, sign::INT AS sign, count(*)::BIGINT AS faces, sum(x + 31 * y + 961 * z)::BIGINT AS checksum FROM f GROUP BY ALL")
+def surface_mesh(spark, sf_dir):
+    """The mesh's faces by direction; the first corner of each is at its cell, or a step beyond along the axis."""
+    f = grid.faces(shapes.order_words(spark, sf_dir), LEVELS)
+    x, y, z = morton.decode(F.col("block") * 64 + F.col("cell"), LEVELS)
+    p = f.select("shape_id", "axis", "sign", grid.square(x, y, z, F.col("axis"), F.col("sign"))[0].alias("p"), F.when(F.col("sign") > 0, 1).otherwise(0).alias("up"))
+    at = sum((k * (F.col(f"p.{c}") - F.when(F.col("axis") == a, F.col("up")).otherwise(0)) for a, (k, c) in enumerate(((1, "x"), (31, "y"), (961, "z")))), F.lit(0))
+    return p.groupBy("shape_id", "axis", "sign").agg(F.count("*").alias("faces"), F.sum(at).alias("checksum"))
 
 
 @query(EMB + "SELECT query_id, object_id, (vol.n - overlap)::BIGINT AS only_query FROM d JOIN vol ON vol.id = query_id")
@@ -302,37 +339,6 @@ def kcenter_assign(spark, sf_dir):
     return p.groupBy("object_id").agg(F.min(F.struct("dist", "query_id")).alias("m")).select("object_id", F.col("m.query_id").alias("centre"), F.col("m.dist").alias("dist"))
 
 
-LINK = EMB + ", l AS (SELECT a.label AS query_label, b.label AS object_label, dist FROM d JOIN ids a ON a.id = query_id JOIN ids b ON b.id = object_id)"
-
-
-def _linkage(spark, sf_dir) -> DataFrame:
-    q, s = _packed(spark, sf_dir)
-    p = search.scored(q, s)
-    lab = s.select("shape_id", "label")
-    p = p.join(lab.select(F.col("shape_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    return p.join(lab.select(F.col("shape_id").alias("object_id"), F.col("label").alias("object_label")), "object_id").groupBy("query_label", "object_label")
-
-
-for _name, _agg, _f in (("complete", "max(dist)", lambda: F.max("dist")), ("single", "min(dist)", lambda: F.min("dist")), ("total", "round(sum(dist), 6)", lambda: F.round(F.sum("dist"), 6)), ("average", "round(avg(dist), 9)", lambda: F.round(F.avg("dist"), 9))):
-    SQL[f"linkage_{_name}"] = LINK + f" SELECT query_label, object_label, {_agg} AS dist FROM l GROUP BY ALL"
-    REGISTRY[f"linkage_{_name}"] = lambda spark, sf_dir, f=_f: _linkage(spark, sf_dir).agg(f().alias("dist"))
-
-
-@query(EMB + "SELECT a.label, arg_min(query_id, (mean, query_id)) AS medoid, min(mean) AS mean FROM (SELECT i.label, t.query_id, t.mean FROM (SELECT ids.label, query_id, round(avg(dist), 9) AS mean FROM d JOIN ids ON ids.id = query_id JOIN ids b ON b.id = object_id AND b.label = ids.label GROUP BY ALL) t JOIN ids i ON i.id = t.query_id) a GROUP BY a.label")
-def medoid(spark, sf_dir):
-    q, s = _packed(spark, sf_dir)
-    lab = s.select("shape_id", "label")
-    p = search.scored(q, s).join(lab.select(F.col("shape_id").alias("query_id"), "label"), "query_id").join(lab.select(F.col("shape_id").alias("object_id"), F.col("label").alias("other")), "object_id").where("label = other")
-    m = p.groupBy("label", "query_id").agg(F.round(F.avg("dist"), 9).alias("mean"))
-    return m.groupBy("label").agg(F.min(F.struct("mean", "query_id")).alias("m")).select("label", F.col("m.query_id").alias("medoid"), F.col("m.mean").alias("mean"))
-
-
-@query(EMB + "SELECT query_id AS src, object_id AS dst, dist AS weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, object_id) AS r FROM d WHERE query_id <> object_id) WHERE r <= 8")
-def knn_graph(spark, sf_dir):
-    p = search.scored(*_packed(spark, sf_dir)).where("query_id <> object_id")
-    return search.top_k(p, 8).select(F.col("query_id").alias("src"), F.col("object_id").alias("dst"), F.col("dist").alias("weight"))
-
-
 @query("SELECT o_custkey AS title, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS object_id, min(o_totalprice) AS score FROM orders GROUP BY o_custkey")
 def best_conformer(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
@@ -350,12 +356,6 @@ def interacting_atoms(spark, sf_dir):
     return lig.join(rec, "shape_id").where(near).groupBy("shape_id", "atom", "x", "y", "z").agg(F.count("*").alias("contacts"))
 
 
-@query("WITH p AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1), g AS (SELECT id, n, unnest(range(0, (2 ** least(n, 4))::BIGINT)) AS mask FROM p) SELECT id AS shape_id, mask::BIGINT AS mask, bit_count(mask::INTEGER)::INT AS points FROM g")
-def point_subsets(spark, sf_dir):
-    p = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("shape_id")).agg(F.countDistinct("l_linenumber").alias("n"))
-    return p.select("shape_id", F.explode(F.expr("sequence(0L, cast(pow(2, least(n, 4)) as bigint) - 1L)")).alias("mask")).withColumn("points", F.bit_count("mask"))
-
-
 @query(ROC + "SELECT score, tp, fp, tpr, fpr FROM r")
 def roc(spark, sf_dir):
     return evaluate.roc(_scores(spark, sf_dir))

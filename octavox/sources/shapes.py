@@ -38,14 +38,21 @@ def order_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_words(sphere_voxels(atoms))
 
 
-def sphere_voxels(atoms: DataFrame) -> DataFrame:
-    """Voxels (shape_id, x, y, z) within the spheres, by offsets that depend on the radius alone; repeated where spheres overlap, as words don't need them distinct."""
-    near = {r: [(i, j, k) for i in range(-r, r + 1) for j in range(-r, r + 1) for k in range(-r, r + 1) if i * i + j * j + k * k <= r * r] for r in (1, 2)}
-    pick = F.lit(None)
-    for r, own in near.items():
-        pick = F.when(F.col("r") == r, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in own])).otherwise(pick)
-    at = atoms.select("shape_id", "gx", "gy", "gz", F.explode(pick).alias("o"))
-    return at.select("shape_id", (F.col("gx") + F.col("o.i")).alias("x"), (F.col("gy") + F.col("o.j")).alias("y"), (F.col("gz") + F.col("o.k")).alias("z")).where(" and ".join(f"{c} between 0 and {SIDE - 1}" for c in "xyz"))
+def sphere_voxels(atoms: DataFrame, side: int = SIDE) -> DataFrame:
+    """Voxels (shape_id, x, y, z) within spheres of whole centres and any radius r (0: the centre alone), cut to the grid.
+
+    Lines along x are counted out of each sphere; cells are repeated where spheres overlap, as words don't need them
+    distinct. A null or negative radius gives none.
+    """
+    atoms = atoms.where("r >= 0").withColumn("r", F.col("r").cast("double"))
+    span = lambda c, far: F.sequence(F.greatest(-F.floor(far), -F.col(c)).cast("int"), F.least(F.floor(far), F.lit(side - 1) - F.col(c)).cast("int"))
+    ok = lambda c, far: (F.col(c) + F.floor(far) >= 0) & (F.col(c) - F.floor(far) <= side - 1)
+    left = lambda *gone: F.sqrt(F.greatest(F.lit(0.0), F.col("r") * F.col("r") - sum((F.col(g) * F.col(g) for g in gone), F.lit(0))))
+    out = atoms.select("shape_id", "gx", "gy", "gz", "r")
+    for axis, gone in (("z", ()), ("y", ("dz",)), ("x", ("dz", "dy"))):
+        far = left(*gone)
+        out = out.where(ok(f"g{axis}", far)).select("*", F.explode(span(f"g{axis}", far)).alias(f"d{axis}"))
+    return out.select("shape_id", *[(F.col(f"g{c}") + F.col(f"d{c}")).cast("int").alias(c) for c in "xyz"])
 
 
 def to_words(voxels: DataFrame, levels: int = LEVELS) -> DataFrame:

@@ -6,6 +6,7 @@ import __spark_entry__
 from octavox.functions import morton
 from octavox.operators import clusters, grid, index, search
 from octavox.operators import geometry as geo
+import octavox.plans.clusters  # noqa: F401
 from octavox.plans import geometry, indexing, queries  # noqa: F401
 from octavox.sources import files, shapes
 
@@ -42,23 +43,66 @@ def golden(spark):
 
 
 def test_golden_shapes(spark):
-    v = golden(spark)
-    count = lambda d: {r["shape_id"]: r["count"] for r in d.groupBy("shape_id").count().collect()}
-    assert count(grid.shrink(v, 4))[0] == 64
-    assert count(grid.grow(v, 4))[1] == 7
-    assert count(grid.shrink(grid.grow(v, 4), 4))[1] == 1
-    assert count(grid.faces(v, 4)) == {0: 96, 1: 6, 2: 24, 3: 64}
-    words = shapes.to_words(v, 2)
-    assert {r["shape_id"]: r["n"] for r in grid.invert(words, 1).groupBy("shape_id").agg(F.sum(F.bit_count("bits")).alias("n")).collect()} == {1: 63, 2: 56, 3: 32}
+    words = shapes.to_words(golden(spark), 2)
+    count = lambda d: {r["shape_id"]: r["n"] for r in d.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).alias("n")).collect()}
+    assert count(grid.shrink(words, 2))[0] == 64
+    assert count(grid.grow(words, 2))[1] == 7
+    assert count(grid.shrink(grid.grow(words, 2), 2))[1] == 1
+    assert {r["shape_id"]: r["faces"] for r in grid.face_counts(words, 2).collect()} == {0: 96, 1: 6, 2: 24, 3: 64}
+    assert {r["shape_id"]: r["n"] for r in grid.invert(words, 2).groupBy("shape_id").agg(F.sum(F.bit_count("bits")).alias("n")).collect()} == {1: 63, 2: 56, 3: 32}
     packed = search.packed(words)
     d = {(r["query_id"], r["object_id"]): r["dist"] for r in search.scored(packed, packed).collect()}
     assert d[2, 3] == 0.75 and d[0, 0] == 0 and all(d[a, b] == d[b, a] for a, b in d)
 
 
+def voxel_sets(frame, levels):
+    out = {}
+    for r in shapes.to_voxels(frame, levels).collect():
+        out.setdefault(r["shape_id"], set()).add((r["x"], r["y"], r["z"]))
+    return out
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4])
+def test_morphology_matches_voxels(spark, levels):
+    """Words against plain sets of voxels, across block borders and the grid's edges."""
+    rng, side = __import__("random").Random(levels), 1 << levels
+    data = {i: {tuple(rng.randrange(side) for _ in range(3)) for _ in range(side**3 * i // 5)} for i in range(1, 6)}
+    words = shapes.to_words(spark.createDataFrame([(i, *p) for i, own in data.items() for p in own], "shape_id long, x int, y int, z int"), levels)
+    six = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    box = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
+    inside = lambda p: all(0 <= c < side for c in p)
+    near = lambda p, how: [tuple(a + b for a, b in zip(p, o, strict=True)) for o in how]
+    grown = lambda s: s | {q for p in s for q in near(p, six) if inside(q)}
+    shrunk = lambda s: {p for p in s if all(q in s or not inside(q) for q in near(p, six))}
+    want = {
+        "grow": grown, "shrink": shrunk, "exposed": lambda s: s - shrunk(s),
+        "interior": lambda s: {p for p in s if all(q in s or not inside(q) for q in near(p, box))},
+        "solitary": lambda s: {p for p in s if not any(q in s for q in near(p, box))},
+    }
+    for name, rule in want.items():
+        assert voxel_sets(getattr(grid, name)(words, levels), levels) == {i: rule(s) for i, s in data.items() if rule(s)}, name
+    assert voxel_sets(grid.grow(words, levels, 2), levels) == {i: grown(grown(s)) for i, s in data.items()}
+    assert voxel_sets(grid.shrink(words, levels, 2), levels) == {i: shrunk(shrunk(s)) for i, s in data.items() if shrunk(shrunk(s))}
+    assert {r["shape_id"]: r["faces"] for r in grid.face_counts(words, levels).collect()} == {i: sum(q not in s for p in s for q in near(p, six)) for i, s in data.items()}
+    assert grid.faces(words, levels).count() == sum(q not in s for s in data.values() for p in s for q in near(p, six))
+    for up in range(levels):
+        for fill in (True, False):
+            cell = lambda s: {tuple(c >> up for c in p) for p in s}  # noqa: B023, E731
+            full = lambda s: {o for o in cell(s) if sum(tuple(c >> up for c in p) == o for p in s) == 8**up}  # noqa: B023, E731
+            got = {r["shape_id"]: r["n"] for r in grid.coarser(words, up, fill).groupBy("shape_id").agg(F.count("*").alias("n")).collect()}
+            assert got == {i: len(cell(s) if fill else full(s)) for i, s in data.items() if (cell(s) if fill else full(s))}, (up, fill)
+
+
+def test_spheres_of_any_radius(spark):
+    atoms = spark.createDataFrame([(1, 8, 8, 8, 3.0), (2, 1, 15, 0, 4.5), (3, 5, 5, 5, 0.0), (4, 30, 3, 3, 2.0), (5, 3, 3, 3, None)], "shape_id long, gx int, gy int, gz int, r double")
+    got = voxel_sets(shapes.to_words(shapes.sphere_voxels(atoms), 4), 4)
+    ball = lambda c, r: {(x, y, z) for x in range(16) for y in range(16) for z in range(16) if (x - c[0]) ** 2 + (y - c[1]) ** 2 + (z - c[2]) ** 2 <= r * r}
+    assert got == {1: ball((8, 8, 8), 3), 2: ball((1, 15, 0), 4.5), 3: {(5, 5, 5)}}
+
+
 def test_empty_table(spark):
-    none = spark.createDataFrame([], "shape_id long, x int, y int, z int")
-    assert grid.grow(none, 4).count() == grid.shrink(none, 4).count() == 0
-    assert search.packed(shapes.to_words(none, 2)).count() == 0
+    none = shapes.to_words(spark.createDataFrame([], "shape_id long, x int, y int, z int"), 2)
+    assert grid.grow(none, 2).count() == grid.shrink(none, 2).count() == search.packed(none).count() == 0
 
 
 def test_octants_and_hausdorff(spark):
