@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from octavox.functions.ordered import before, ranged
+
+#: Resamples of a bootstrap, and its interval.
+REPLICATES, LOWER, UPPER = 2000, 0.05, 0.95
+
 
 def by_score(scored: DataFrame) -> DataFrame:
-    """One row a distinct score: positives and negatives there. Windows below run over these rows, not over the input."""
+    """One row a distinct score: positives and negatives there."""
     return scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
 
 
 def roc(scored: DataFrame) -> DataFrame:
-    """score, tp, fp, tpr, fpr at every threshold `at least score`."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    s = by_score(scored).select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(every).alias("ps"), F.sum("n").over(every).alias("ns"))
-    return s.select("score", "tp", "fp", (F.col("tp") / F.col("ps")).alias("tpr"), (F.col("fp") / F.col("ns")).alias("fpr"))
+    """score, tp, fp, tpr, fpr at every threshold `at least score`, and p, n at the score itself."""
+    counts = by_score(scored)
+    s = before(counts, [F.desc("score")], {"tp": "p", "fp": "n"}).select("score", "p", "n", (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"))
+    s = s.join(F.broadcast(counts.agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))), F.lit(True))
+    return s.select("score", "tp", "fp", F.try_divide("tp", "ps").alias("tpr"), F.try_divide("fp", "ns").alias("fpr"), "p", "n", "ps", "ns")
 
 
 def auc(scored: DataFrame) -> DataFrame:
     """positives, negatives, auc: wins of positives over negatives, ties count half; integers until the division."""
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = by_score(scored).withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    s = before(by_score(scored), [F.col("score")], {"below": "n"})
     s = s.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(2 * F.col("p") * F.col("below") + F.col("p") * F.col("n")).alias("twice"))
     return s.select("positives", "negatives", (F.col("twice") / (2.0 * F.col("positives") * F.col("negatives"))).alias("auc"))
 
 
+def auc_by(scored: DataFrame, *groups: str) -> DataFrame:
+    """`groups`, auc of each group; a group's distinct scores are summed up in a window of their own."""
+    s = scored.groupBy(*groups, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("below", below).groupBy(*groups).agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"), F.sum(2 * F.col("p") * F.col("below") + F.col("p") * F.col("n")).alias("twice"))
+    return s.select(*groups, F.try_divide(F.col("twice"), 2.0 * F.col("ps") * F.col("ns")).alias("auc"))
+
+
 def partial_auc(scored: DataFrame, limits=(0.01, 0.05, 0.1)) -> DataFrame:
     """fpr_limit, partial, standardised: area up to each false-positive rate, and McClish's scaling of it to 0.5 to 1."""
-    points = roc(scored).select("fpr", "tpr", "score")
-    before = Window.orderBy(F.desc("score"))
-    seg = points.select(F.coalesce(F.lag("fpr").over(before), F.lit(0.0)).alias("x0"), F.coalesce(F.lag("tpr").over(before), F.lit(0.0)).alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    seg = roc(scored).select(((F.col("fp") - F.col("n")) / F.col("ns")).alias("x0"), ((F.col("tp") - F.col("p")) / F.col("ps")).alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
     cut = seg.select("*", F.explode(F.array(*[F.lit(float(x)) for x in limits])).alias("fpr_limit")).where("x0 < fpr_limit and x1 > x0")
     end = F.least("x1", "fpr_limit")
     y = F.col("y0") + (F.col("y1") - F.col("y0")) * (end - F.col("x0")) / (F.col("x1") - F.col("x0"))
@@ -43,45 +57,93 @@ def partial_auc(scored: DataFrame, limits=(0.01, 0.05, 0.1)) -> DataFrame:
 def pareto(points: DataFrame) -> DataFrame:
     """Points of which none has as low an fpr and as high a tpr: tpr rises strictly with fpr."""
     best = points.groupBy("fpr").agg(F.max("tpr").alias("tpr"))
-    before = Window.orderBy("fpr").rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("top", F.max("tpr").over(before)).where("top is null or tpr > top").select("fpr", "tpr")
-
+    return before(best, [F.col("fpr")], tops={"top": "tpr"}).where("top is null or tpr > top").select("fpr", "tpr")
+
+
+def tail(hits: int, drawn: int, positives: int, total: int) -> float:
+    """P(at least `hits` positives among `drawn` of `total` with `positives`), by ratios of neighbouring terms from the nearer end."""
+    low, high = max(0, drawn - (total - positives)), min(drawn, positives)
+    if hits <= low:
+        return 1.0
+    if hits > high:
+        return 0.0
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    log_p = lambda k: choose(positives, k) + choose(total - positives, drawn - k) - choose(total, drawn)
+    up = (positives - hits) * (drawn - hits) <= (hits + 1) * (total - positives - drawn + hits + 1)
+    k, term, sums = (hits, 1.0, 1.0) if up else (hits - 1, 1.0, 1.0)
+    first = k
+    while (k < high) if up else (k > low):
+        if up:
+            term *= (positives - k) * (drawn - k) / ((k + 1) * (total - positives - drawn + k + 1))
+            k += 1
+        else:
+            term *= k * (total - positives - drawn + k) / ((positives - k + 1) * (drawn - k + 1))
+            k -= 1
+        sums += term
+        if term < 1e-18 * sums:
+            break
+    p = sums * math.exp(log_p(first))
+    return min(1.0, p) if up else max(0.0, 1.0 - p)
+
+
+def enrichment(counts: DataFrame, searches: int | None = None) -> DataFrame:
+    """search, hits, drawn, positives, total, p_value: hypergeometric tail, times the searches (all rows by default), at most 1."""
+    times = counts.count() if searches is None else searches
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select("search", "hits", "drawn", "positives", "total").schema)
+
+    def value(batches):
+        for part in batches:
+            part["p_value"] = [min(1.0, times * tail(int(h), int(d), int(p), int(t))) for h, d, p, t in zip(part["hits"], part["drawn"], part["positives"], part["total"], strict=True)]
+            yield part
+
+    return counts.select("search", "hits", "drawn", "positives", "total").mapInPandas(value, f"{schema}, p_value double")
+
+
+def bootstrap_auc(scored: DataFrame, replicates: int = REPLICATES, lower: float = LOWER, upper: float = UPPER, seed: int = 1) -> DataFrame:
+    """lower, upper of the AUC over Poisson resamples; those with one class are left out.
+
+    Rows of one score and class resampled together are one Poisson draw of their number. Draws are seeded by the
+    score, so that reruns agree. Ranges of scores sum up all resamples at once; a row a range and resample is gathered.
+    """
 
-def enrichment(counts: DataFrame, searches: int = 1) -> DataFrame:
-    """Hypergeometric tail of `hits` positives among `drawn` of `total` with `positives`, times the searches (at most 1).
+    def resample(batches):
+        place, (p, n, twice) = None, (np.zeros(replicates, np.int64) for _ in range(3))
+        for part in batches:
+            place = int(part["_range"].iat[0]) if len(part) else place
+            for score, a, b in zip(part["score"].to_numpy(float), part["p"], part["n"], strict=True):
+                rng = np.random.default_rng([seed, int(np.float64(score).view(np.uint64))])
+                own, other = rng.poisson(a, replicates), rng.poisson(b, replicates)
+                twice += own * (2 * n + other)
+                p += own
+                n += other
+        if place is not None:
+            yield pd.DataFrame({"place": place, "rep": range(replicates), "p": p, "n": n, "twice": twice})
+
+    ranges = ranged(by_score(scored), F.col("score")).sortWithinPartitions("score").mapInPandas(resample, "place int, rep int, p long, n long, twice long")
+    under = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = ranges.withColumn("under", under).groupBy("rep").agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"), F.sum(F.col("twice") + 2 * F.col("p") * F.col("under")).alias("twice"))
+    a = a.where("ps > 0 and ns > 0").select((F.col("twice") / (2.0 * F.col("ps") * F.col("ns"))).alias("auc"))
+    return a.agg(F.percentile("auc", F.lit(lower)).alias("lower"), F.percentile("auc", F.lit(upper)).alias("upper"))
 
-    Sums run in Spark over log-gamma values by Stirling's series; counts are one row a search.
-    """
 
-    def log_gamma(x):
-        # Stirling's series at x + 8, brought back by the recurrence.
-        z = x + 8.0
-        series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1.0 / (12.0 * z) - 1.0 / (360.0 * z * z * z) + 1.0 / (1260.0 * z * z * z * z * z)
-        return series - sum((F.log(x + float(i)) for i in range(1, 8)), F.log(x))
+def reduced_counts(hits: DataFrame, search: str, title: str) -> DataFrame:
+    """`search`, hits, titles: answers of a search, and compounds among them, of which conformers share a title."""
+    return hits.groupBy(search).agg(F.count("*").alias("hits"), F.countDistinct(title).alias("titles"))
 
-    def log_choose(n, k):
-        return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
 
-    rows = counts.withColumn("k", F.explode(F.sequence("hits", F.least("drawn", "positives"))))
-    n, m, d, k = (F.col(c).cast("double") for c in ("total", "positives", "drawn", "k"))
-    p = F.exp(log_choose(m, k) + log_choose(n - m, d - k) - log_choose(n, d))
-    return rows.groupBy("search", "hits", "drawn", "positives", "total").agg(F.least(F.lit(1.0), F.sum(p) * searches).alias("p_value"))
+def table(values: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
+    """One row a `row`, a column for each of the names, holding the value."""
+    return values.groupBy(row).pivot(column, names).agg(F.first(value))
 
 
-def bootstrap_auc(scored: DataFrame, replicates: int = 200, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
-    """lower, upper of the AUC over seeded Poisson resamples; those with one class are left out.
+def parse_log(lines: DataFrame) -> DataFrame:
+    """part, kind, text, seconds: timing lines of logs (`file`, `line` number, `value`).
 
-    Weights are drawn by hash of (id, replicate), so that no resample is gathered and reruns agree.
+    A line `# DCPTS n` begins part n of its file; `Batch <job> t1 t2 ...` gives a row for each time.
     """
-    rep = scored.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64("id", "rep"), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k
-    w = rep.withColumn("w", weight).where("w > 0").groupBy("rep", "score").agg(F.sum(F.when(F.col("positive"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("positive"), 0).otherwise(F.col("w"))).alias("n"))
-    below = Window.partitionBy("rep").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    a = w.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))).groupBy("rep").agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"), F.sum(2 * F.col("p") * F.col("below") + F.col("p") * F.col("n")).alias("twice"))
-    a = a.where("ps > 0 and ns > 0").select((F.col("twice") / (2.0 * F.col("ps") * F.col("ns"))).alias("auc"))
-    return a.agg(F.percentile("auc", F.lit(lower)).alias("lower"), F.percentile("auc", F.lit(upper)).alias("upper"))
+    mark = F.regexp_extract("value", r"^# DCPTS (\d+)", 1)
+    own = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    parts = lines.withColumn("part", F.last(F.when(mark != "", mark.cast("int")), ignorenulls=True).over(own))
+    times: Column = F.filter(F.split(F.regexp_extract("value", r"^Batch .*?((?: [0-9.]+)+)$", 1), " "), lambda t: t != "")
+    timed = parts.where(F.col("value").startswith("Batch ")).select("file", "line", "part", F.regexp_extract("value", r"^Batch (\S+)", 1).alias("kind"), F.regexp_extract("value", r"^Batch (.*?)(?: [0-9.]+)+$", 1).alias("text"), F.posexplode(times).alias("trial", "t"))
+    return timed.select("file", "line", "part", "kind", "text", "trial", F.col("t").cast("double").alias("seconds"))

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows up to which the packed queries are broadcast; beyond, Spark chooses the join.
-BROADCAST_QUERIES = 20_000
-
-
 def packed(words: DataFrame, key: str = "shape_id") -> DataFrame:
     """One row a shape: key, words (map of block to bits), volume."""
     return words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("words"), F.sum(F.bit_count("bits")).cast("long").alias("volume"))
@@ -20,9 +16,12 @@ def common(a: str, b: str) -> Column:
 
 
 def against(queries: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Every query beside every shape, so that pairs without a common voxel are not lost."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return shapes.join(F.broadcast(queries) if few else queries, F.lit(True), "cross")
+    """Every query of a stated set beside every shape, so that pairs without a common voxel are not lost.
+
+    Without a hint: Spark broadcasts a side whose bytes are under its threshold, else it meets the two in blocks of
+    partitions. Conditions on the pair that follow become part of the join.
+    """
+    return shapes.join(queries, F.lit(True), "cross")
 
 
 def tanimoto(i: Column, a: Column, b: Column) -> Column:

@@ -358,7 +358,7 @@ def interacting_atoms(spark, sf_dir):
 
 @query(ROC + "SELECT score, tp, fp, tpr, fpr FROM r")
 def roc(spark, sf_dir):
-    return evaluate.roc(_scores(spark, sf_dir))
+    return evaluate.roc(_scores(spark, sf_dir)).select("score", "tp", "fp", "tpr", "fpr")
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -384,30 +384,100 @@ def pareto(spark, sf_dir):
     return evaluate.pareto(evaluate.roc(_scores(spark, sf_dir)).select("fpr", "tpr"))
 
 
-@query("WITH t AS (SELECT n_chars, quality, source FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) FILTER (WHERE quality = 1 AND n_chars >= 1000)::DOUBLE / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE AS tpr, count(*) FILTER (WHERE quality = 0 AND n_chars >= 1000)::DOUBLE / nullif(count(*) FILTER (WHERE quality = 0), 0)::DOUBLE AS fpr FROM t GROUP BY source")
-def tpr_fpr(spark, sf_dir):
-    t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id")
-    rate = lambda q: F.try_divide(F.count_if((F.col("quality") == q) & (F.col("n_chars") >= 1000)).cast("double"), F.count_if(F.col("quality") == q).cast("double"))
-    return t.groupBy("source").agg(rate(1).alias("tpr"), rate(0).alias("fpr"))
+# Searches of shapes as screening: objects of a query's label are its actives, all others decoys.
+LATTICE = f"""SELECT v, (v & 1) + 2 * ((v >> 3) & 1) AS x, ((v >> 1) & 1) + 2 * ((v >> 4) & 1) AS y, ((v >> 2) & 1) + 2 * ((v >> 5) & 1) AS z FROM range(0, 64) t(v)"""
+SWEEP = EMB + f""", lat AS ({LATTICE}), nb AS (SELECT a.v, b.v AS w FROM lat a JOIN lat b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+qs AS (SELECT id, v FROM s WHERE id % {EVERY} = 0),
+e1 AS (SELECT qs.id, qs.v FROM qs WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.v = qs.v AND NOT EXISTS (SELECT 1 FROM qs t WHERE t.id = qs.id AND t.v = nb.w))),
+g1 AS (SELECT id, v FROM qs UNION SELECT qs.id, nb.w FROM qs JOIN nb ON nb.v = qs.v),
+g2 AS (SELECT id, v FROM g1 UNION SELECT g1.id, nb.w FROM g1 JOIN nb ON nb.v = g1.v),
+lo AS (SELECT 0 AS less, id, v FROM qs UNION ALL SELECT 1, id, v FROM e1), hi AS (SELECT 0 AS more, id, v FROM qs UNION ALL SELECT 1, id, v FROM g1 UNION ALL SELECT 2, id, v FROM g2),
+ls AS (SELECT q.id, less, count(v) AS n FROM q CROSS JOIN (VALUES (0), (1)) r(less) LEFT JOIN lo USING (id, less) GROUP BY ALL),
+lx AS (SELECT lo.id AS q, less, s.id, count(*) AS x FROM lo JOIN s USING (v) GROUP BY ALL), hx AS (SELECT hi.id AS q, more, s.id, count(*) AS x FROM hi JOIN s USING (v) GROUP BY ALL),
+f AS (SELECT ls.id AS q, ls.less, r.more, vol.id, a.label = b.label AS active FROM ls CROSS JOIN (VALUES (0), (1), (2)) r(more) CROSS JOIN vol JOIN ids a ON a.id = ls.id JOIN ids b ON b.id = vol.id
+    LEFT JOIN lx ON lx.q = ls.id AND lx.less = ls.less AND lx.id = vol.id LEFT JOIN hx ON hx.q = ls.id AND hx.more = r.more AND hx.id = vol.id WHERE coalesce(lx.x, 0) = ls.n AND coalesce(hx.x, 0) = vol.n)
+"""
+
+
+def _bounded(spark, sf_dir) -> DataFrame:
+    """query_id, label, less, more, small, big: every query shrunk by 0 or 1 steps and grown by 0 to 2."""
+    own = shapes.sign_shapes(spark, sf_dir).where(F.col("shape_id") % EVERY == 0).withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+    word = lambda w, n: w.select("shape_id", F.col("bits").alias(n))
+    every = own.select("shape_id", "label", F.col("bits").alias("own"))
+    for name, w in (("e1", grid.shrink(own, 2)), ("g1", grid.grow(own, 2)), ("g2", grid.grow(own, 2, 2))):
+        every = every.join(word(w, name), "shape_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    steps = [F.struct(F.lit(a).alias("less"), F.lit(b).alias("more"), zero(("own", "e1")[a]).alias("small"), zero(("own", "g1", "g2")[b]).alias("big")) for a in range(2) for b in range(3)]
+    return every.select(F.col("shape_id").alias("query_id"), "label", F.explode(F.array(*steps)).alias("p")).select("query_id", "label", "p.*")
 
 
-@query("WITH t AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id)), g AS (SELECT l * 500 AS least, m * 500 AS most FROM range(0, 5) a(l), range(5, 10) b(m)) SELECT least::BIGINT AS least, most::BIGINT AS most, count(*) FILTER (WHERE quality = 1)::BIGINT AS hits, count(*) FILTER (WHERE quality = 0)::BIGINT AS decoys FROM g LEFT JOIN t ON n_chars >= least AND n_chars < most GROUP BY ALL")
+def _found(spark, sf_dir) -> DataFrame:
+    """query_id, less, more, object_id, active: every answer of the sweep's searches."""
+    objects = shapes.sign_shapes(spark, sf_dir).select(F.col("shape_id").alias("object_id"), F.col("label").alias("other"), "bits")
+    held = search.against(_bounded(spark, sf_dir), objects).where("(small & ~bits) = 0 and (bits & ~big) = 0")
+    return held.select("query_id", "less", "more", "object_id", (F.col("label") == F.col("other")).alias("active"))
+
+
+@query(SWEEP + "SELECT less::INT AS less, more::INT AS more, count(*) FILTER (WHERE active)::BIGINT AS hits, count(*) FILTER (WHERE NOT active)::BIGINT AS decoys FROM f GROUP BY ALL")
 def sweep(spark, sf_dir):
-    t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("n_chars", "quality")
-    counts = [F.struct(F.lit(500 * a).cast("long").alias("least"), F.lit(500 * b).cast("long").alias("most"), *[F.count_if((F.col("quality") == q) & (F.col("n_chars") >= 500 * a) & (F.col("n_chars") < 500 * b)).alias(name) for q, name in ((1, "hits"), (0, "decoys"))]) for a in range(5) for b in range(5, 10)]
-    return t.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+    """Answers of the constraint searches of all queries at each pair of amounts."""
+    return _found(spark, sf_dir).groupBy("less", "more").agg(F.count_if("active").alias("hits"), F.count_if(~F.col("active")).alias("decoys"))
 
 
-@query()
-def bootstrap_auc(spark, sf_dir):
-    return evaluate.bootstrap_auc(_scores(spark, sf_dir))
+KINDS = ", t AS (SELECT q.id AS q, count(*) FILTER (WHERE a.label = b.label)::BIGINT AS ps, count(*)::BIGINT AS total FROM q JOIN ids a USING (id) CROSS JOIN ids b GROUP BY q.id), c AS (SELECT t.q, ps, total, count(*) FILTER (WHERE active)::BIGINT AS hits, count(f.id)::BIGINT AS drawn FROM t LEFT JOIN (SELECT * FROM f WHERE less = 1 AND more = 1) f ON f.q = t.q GROUP BY ALL) "
 
 
-@query()
+def _screened(spark, sf_dir) -> DataFrame:
+    """search (the query), hits, drawn, positives, total of the searches one step less and one more."""
+    ids = shapes.sign_shapes(spark, sf_dir).select("shape_id", "label")
+    sizes = ids.groupBy("label").agg(F.count("*").alias("positives"))
+    every = ids.where(F.col("shape_id") % EVERY == 0).join(F.broadcast(sizes), "label").join(F.broadcast(ids.agg(F.count("*").alias("total"))), F.lit(True))
+    found = _found(spark, sf_dir).where("less = 1 and more = 1").groupBy("query_id").agg(F.count_if("active").alias("hits"), F.count("*").alias("drawn"))
+    joined = every.join(found, F.col("shape_id") == F.col("query_id"), "left")
+    return joined.select(F.col("shape_id").alias("search"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("drawn", F.lit(0)).alias("drawn"), "positives", "total")
+
+
+@query(SWEEP + KINDS + "SELECT q AS search, hits::DOUBLE / ps::DOUBLE AS tpr, (drawn - hits)::DOUBLE / nullif(total - ps, 0)::DOUBLE AS fpr FROM c")
+def tpr_fpr(spark, sf_dir):
+    rate = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    return _screened(spark, sf_dir).select("search", rate(F.col("hits"), F.col("positives")).alias("tpr"), rate(F.col("drawn") - F.col("hits"), F.col("total") - F.col("positives")).alias("fpr"))
+
+
+_CHOOSE = "lgamma({0} + 1.0::DOUBLE) - lgamma({1} + 1.0::DOUBLE) - lgamma({0} - {1} + 1.0::DOUBLE)"
+
+
+@query(SWEEP + KINDS + f", k AS (SELECT *, unnest(range(hits, least(drawn, ps) + 1)) AS k FROM c) SELECT q AS search, hits, drawn, ps AS positives, total, round(least(1.0::DOUBLE, (SELECT count(*) FROM q) * sum(exp(({_CHOOSE.format('ps', 'k')}) + ({_CHOOSE.format('(total - ps)', '(drawn - k)')}) - ({_CHOOSE.format('total', 'drawn')})))), 7) AS p_value FROM k WHERE drawn - k <= total - ps GROUP BY ALL")
 def enrichment(spark, sf_dir):
-    t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id")
-    c = t.groupBy(F.col("source").alias("search")).agg(F.count_if((F.col("quality") == 1) & (F.col("n_chars") >= 1000)).alias("hits"), F.count_if(F.col("n_chars") >= 1000).alias("drawn"), F.count_if(F.col("quality") == 1).alias("positives"), F.count("*").alias("total"))
-    return evaluate.enrichment(c)
+    """Every search's tail probability times the number of searches."""
+    return evaluate.enrichment(_screened(spark, sf_dir)).withColumn("p_value", F.round("p_value", 7))
+
+
+@query(SWEEP + f"SELECT q AS query_id, count(*)::BIGINT AS hits, count(DISTINCT id % 50)::BIGINT AS titles FROM f WHERE less = 1 AND more = 2 GROUP BY q")
+def conformer_counts(spark, sf_dir):
+    """Answers and compounds among them; shapes of one id modulo 50 are conformers of a compound."""
+    return evaluate.reduced_counts(_found(spark, sf_dir).where("less = 1 and more = 2").withColumn("title", F.col("object_id") % 50), "query_id", "title")
+
+
+@query(EMB + """, m AS (SELECT a.label AS target, object_id AS id, min(dist) AS rel_volume, min(joint - overlap) AS abs_volume, any_value(b.label) = a.label AS positive FROM d JOIN ids a ON a.id = query_id JOIN ids b ON b.id = object_id GROUP BY a.label, object_id),
+u AS (SELECT target, 'rel_volume' AS method, -rel_volume AS score, positive FROM m UNION ALL SELECT target, 'abs_volume', (-abs_volume)::DOUBLE, positive FROM m),
+g AS (SELECT target, method, score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM u GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY target, method ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+a AS (SELECT target, method, sum(2 * p * below + p * n)::DOUBLE / nullif(2.0::DOUBLE * sum(p)::DOUBLE * sum(n)::DOUBLE, 0) AS auc FROM b GROUP BY ALL)
+SELECT target, max(auc) FILTER (WHERE method = 'rel_volume') AS rel_volume, max(auc) FILTER (WHERE method = 'abs_volume') AS abs_volume FROM a GROUP BY target""")
+def auc_table(spark, sf_dir):
+    """AUC of each label's queries by metric: an object's score is its nearest query's."""
+    q, s = _packed(spark, sf_dir)
+    label = s.select("shape_id", "label")
+    p = search.scored(q, s).join(label.select(F.col("shape_id").alias("query_id"), F.col("label").alias("target")), "query_id").join(label.select(F.col("shape_id").alias("object_id"), "label"), "object_id")
+    best = p.groupBy("target", "object_id", (F.col("label") == F.col("target")).alias("positive")).agg(F.min("dist").alias("rel_volume"), F.min(F.col("joint") - F.col("overlap")).cast("double").alias("abs_volume"))
+    names = ["rel_volume", "abs_volume"]
+    long = best.select("target", "positive", F.explode(F.array(*[F.struct(F.lit(n).alias("method"), (-F.col(n)).alias("score")) for n in names])).alias("m")).select("target", "positive", "m.*")
+    return evaluate.table(evaluate.auc_by(long, "target", "method"), "target", "method", "auc", names)
+
+
+@query()
+def bootstrap_auc(spark, sf_dir):
+    return evaluate.bootstrap_auc(_scores(spark, sf_dir))
 
 
 @query(SQL["dc_range"])
@@ -416,6 +486,6 @@ def envelope_prune_dc(spark, sf_dir):
     w = shapes.sign_shapes(spark, sf_dir).where(F.col("shape_id") % EVERY == 0)
     c = w.select(F.col("shape_id").alias("query_id"), F.expr("bits & 16777215L").alias("s"), F.expr("bits | shiftleft(-1L, 32)").alias("b"))
     nodes = _nodes(spark, sf_dir)[1].select("node_id", "miv", "msv")
-    live = nodes.join(F.broadcast(c) if c.limit(search.BROADCAST_QUERIES + 1).count() <= search.BROADCAST_QUERIES else c, F.expr("(s & ~msv) = 0 and (miv & ~b) = 0"))
+    live = nodes.join(c, F.expr("(s & ~msv) = 0 and (miv & ~b) = 0"))
     members = shapes.sign_shapes(spark, sf_dir).select("shape_id", F.floor(F.col("shape_id") / 4).alias("node_id"), "bits")
     return live.join(members, "node_id").where("(s & ~bits) = 0 and (bits & ~b) = 0").select("query_id", F.col("shape_id").alias("object_id"))
