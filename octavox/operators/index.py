@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from octavox.functions.ordered import before, checkpointed
 from octavox.operators import search
 
 #: Shapes of a leaf, and ties (shapes of one centre and distance) that one sort may number; more are numbered by ranges of ids.
@@ -24,13 +25,13 @@ def _numbered(near: DataFrame) -> DataFrame:
     of ids, which are counted and summed up too; a window holds a range of ties only.
     """
     tie = ["centre", "dist"]
-    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    lower = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     ties = near.groupBy(*tie).agg(F.count("*").alias("ties"), F.min("shape_id").alias("low"), F.max("shape_id").alias("high"))
-    ties = ties.withColumn("first", F.coalesce(F.sum("ties").over(before("centre").orderBy("dist")), F.lit(0)))
+    ties = ties.withColumn("first", F.coalesce(F.sum("ties").over(lower("centre").orderBy("dist")), F.lit(0)))
     step = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("ties") / SORTED)))
     cut = near.join(ties.select(*tie, "low", "first", step.alias("step")), tie).withColumn("range", F.expr("(shape_id - low) div step"))
     sizes = cut.groupBy(*tie, "range").agg(F.count("*").alias("n"))
-    sizes = sizes.select(*tie, "range", F.coalesce(F.sum("n").over(before(*tie).orderBy("range")), F.lit(0)).alias("skipped"))
+    sizes = sizes.select(*tie, "range", F.coalesce(F.sum("n").over(lower(*tie).orderBy("range")), F.lit(0)).alias("skipped"))
     own = Window.partitionBy(*tie, "range").orderBy("shape_id")
     return cut.join(sizes, [*tie, "range"]).select("shape_id", "centre", (F.col("first") + F.col("skipped") + F.row_number().over(own) - 1).alias("at"))
 
@@ -57,12 +58,47 @@ def levels(packed: DataFrame, words: DataFrame) -> DataFrame:
     return low.unionByName(mid).unionByName(top)
 
 
-def packed_leaves(envelopes: DataFrame) -> DataFrame:
-    """Leaves as `search.bounds` takes them, named by node_id."""
-    own = envelopes.where("level = 0").withColumn("node_id", F.struct("centre", "leaf"))
-    return own.groupBy("node_id", "n").agg(
+def packed_nodes(envelopes: DataFrame) -> DataFrame:
+    """Envelopes (node_id, block, miv, msv, n) as `search.bounds` takes them."""
+    return envelopes.groupBy("node_id", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("block", "miv"))).alias("miv"),
         F.map_from_entries(F.collect_list(F.struct("block", "msv"))).alias("msv"),
         F.sum(F.bit_count("miv")).cast("long").alias("vmiv"),
         F.sum(F.bit_count("msv")).cast("long").alias("vmsv"),
     )
+
+
+def packed_leaves(envelopes: DataFrame) -> DataFrame:
+    """Leaves of `levels` as `search.bounds` takes them, named by node_id."""
+    return packed_nodes(envelopes.where("level = 0").withColumn("node_id", F.struct("centre", "leaf")))
+
+
+def envelopes_of(members: DataFrame, words: DataFrame) -> DataFrame:
+    """node_id, block, miv, msv, n of nodes given by their members (shape_id, node_id); a block that a member lacks has no miv."""
+    n = members.groupBy("node_id").agg(F.count("*").alias("n"))
+    low = words.join(members, "shape_id").groupBy("node_id", "block").agg(F.bit_and("bits").alias("a"), F.bit_or("bits").alias("msv"), F.count("*").alias("m")).join(n, "node_id")
+    return low.select("node_id", "block", F.when(F.col("m") == F.col("n"), F.col("a")).otherwise(F.lit(0).cast("long")).alias("miv"), "msv", "n")
+
+
+def tree(packed: DataFrame, words: DataFrame, key: list[str], fan: int = LEAF, drop_top: int = 0) -> DataFrame:
+    """level (0: leaves), node, block, miv, msv, n, first_leaf, last_leaf, of all levels up to one root.
+
+    Leaves (`packed` has shape_id and the columns of `key`) are numbered in the order of their keys, so that `fan`
+    neighbours of a level make a node of the next and a node's leaves are a range. Each level comes from the one below,
+    whose nodes are fewer by `fan`. `drop_top` levels at the top are left out: then several roots remain.
+    """
+    leaves = before(packed.groupBy(*key).agg(F.count("*").alias("n")), [F.col(c) for c in key], {"node": F.lit(1)})
+    members = packed.join(leaves.select(*key, "node"), key).select("shape_id", F.col("node").alias("node_id"))
+    level = checkpointed(envelopes_of(members, words).withColumnRenamed("node_id", "node").withColumns({"first_leaf": F.col("node"), "last_leaf": F.col("node")}))
+    out, depth = [level.withColumn("level", F.lit(0))], 0
+    while (level.agg(F.max("node")).first()[0] or 0) > 0:
+        depth += 1
+        up = F.expr(f"node div {fan}").alias("node")
+        one = level.select("node", "n", "first_leaf", "last_leaf").distinct().groupBy(up).agg(F.count("*").alias("kids"), F.sum("n").alias("n"), F.min("first_leaf").alias("first_leaf"), F.max("last_leaf").alias("last_leaf"))
+        words_up = level.groupBy(up, "block").agg(F.bit_and("miv").alias("a"), F.bit_or("msv").alias("msv"), F.count("*").alias("m"))
+        level = checkpointed(words_up.join(one, "node").select("node", "block", F.when(F.col("m") == F.col("kids"), F.col("a")).otherwise(F.lit(0).cast("long")).alias("miv"), "msv", "n", "first_leaf", "last_leaf"))
+        out.append(level.withColumn("level", F.lit(depth)))
+    whole = out[0]
+    for frame in out[1 : max(1, len(out) - drop_top)]:
+        whole = whole.unionByName(frame)
+    return whole
