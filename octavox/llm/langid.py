@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytecnn
-from .common import labelled_sample, utf8
+from .common import labelled_sample, rested, utf8
 
 #: Bytes of a window; windows of a text follow each other and cover it.
 WINDOW = 256
@@ -31,7 +31,7 @@ def training_windows(documents: DataFrame, label: str, per_class: int, size: int
 
     texts = documents.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("string").alias("label"), "text")
     texts = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id")
-    got = texts.mapInArrow(windows, "doc_id long, label string, bytes binary, n int").toPandas().sort_values(["doc_id", "label", "bytes"])
+    got = texts.mapInArrow(rested(windows), "doc_id long, label string, bytes binary, n int").toPandas().sort_values(["doc_id", "label", "bytes"])
     classes = sorted(got["label"].unique())
     raw = np.frombuffer(b"".join(got["bytes"]), np.uint8).reshape(len(got), size + bytecnn.TAIL)
     there = np.arange(size + bytecnn.TAIL) < got["n"].to_numpy()[:, None]
@@ -65,4 +65,4 @@ def identify(documents: DataFrame, net: bytecnn.Net | None) -> DataFrame:
             names = [net.classes[k] if ok else UNDETERMINED for k, ok in zip(best, there, strict=True)]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(there, p[np.arange(len(p)), best], 0.0))], ["doc_id", "lang_pred", "score"])
 
-    return texts.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return texts.mapInArrow(rested(predict), "doc_id long, lang_pred string, score double")

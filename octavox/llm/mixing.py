@@ -19,7 +19,7 @@ MOST, WEIGHTS = 3, (1, 2, 3)
 #: error of a source's words at which they end.
 ITERATIONS, ENOUGH = 200, 1e-9
 #: Documents of a part on average, where those of one source and like size are parted for prefix sums.
-PART_ROWS = 20_000
+PART_ROWS = 250
 WORDS = r"[^\x20\x09-\x0D]+"
 
 

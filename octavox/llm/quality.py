@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytecnn
-from .common import labelled_sample, utf8
+from .common import labelled_sample, rested, utf8
 from .langid import training_windows
 
 #: Bytes of a chunk, and from one chunk's start to the next: neighbours share 64 bytes.
@@ -51,7 +51,7 @@ def score(documents: DataFrame, net: bytecnn.Net | None) -> DataFrame:
             p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60)))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(np.where(np.diff(offsets) > 0, p, 0.0))], ["doc_id", "score"])
 
-    return texts.mapInArrow(predict, "doc_id long, score double")
+    return texts.mapInArrow(rested(predict), "doc_id long, score double")
 
 
 def keep(documents: DataFrame, net: bytecnn.Net | None, least: float = 0.5) -> DataFrame:
@@ -67,4 +67,4 @@ def keep(documents: DataFrame, net: bytecnn.Net | None, least: float = 0.5) -> D
             p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60)))
             yield rb.filter(pa.array((p >= least) & (np.diff(offsets) > 0)))
 
-    return documents.mapInArrow(passing, documents.schema)
+    return documents.mapInArrow(rested(passing), documents.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, string_array
+from .common import ragged, rested, string_array
 
 MARK = "▁"
 #: Runs kept per Python worker before the memory of runs is emptied, symbols up to which a run is a row of an array,
@@ -103,7 +103,6 @@ class Model:
         """Give back what a task gathered: an idle worker holds the vocabulary alone."""
         self.forget()
         self.power = self.inverse = np.zeros(0, np.uint64)
-        pa.default_memory_pool().release_unused()
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair makes; a large rank where it makes none."""
@@ -369,7 +368,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, 512), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
         m.rest()
 
-    return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(rested(batches), "doc_id long, ids array<int>")
 
 
 def _decoded(m: Model, ids: np.ndarray, offsets: np.ndarray):
@@ -398,7 +397,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for begin, end, text in _decoded(m, column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)):
                 yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(begin, end - begin), column.slice(begin, end - begin), text], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(rested(batches), "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
@@ -415,7 +414,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), own, text], ["doc_id", "ids", "decoded"])
         m.rest()
 
-    return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
+    return documents.select("doc_id", "text").mapInArrow(rested(batches), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
