@@ -23,10 +23,10 @@ from .common import ragged, rested, string_array
 MARK = "▁"
 #: Runs kept per Python worker before the memory of runs is emptied, symbols up to which a run is a row of an array,
 #: characters that are cut into runs at a time, and one in how many new runs and texts is checked against the library.
-KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE, CHECKED_TEXTS = 600_000, 40, 1_000_000, 8, 16
+KEPT_RUNS, ROW_SYMBOLS, BATCH_CHARACTERS, CHECKED_SHARE, CHECKED_TEXTS = 400_000, 40, 400_000, 8, 16
 #: Ids that are decoded at a time.
-DECODED_IDS = 1_000_000
-_KNOWN_BITS, _FACTOR = 21, 0xC2B2AE3D27D4EB4F
+DECODED_IDS = 200_000
+_KNOWN_BITS, _FACTOR = 20, 0xC2B2AE3D27D4EB4F
 _UNKNOWN = 1 << 15  # ids from here on are characters that the vocabulary lacks
 #: Spaces, a ligature, a circled digit and controls, which normalisers other than the identity change.
 _PROBE = "  A\u00e9 \ufb01\u2460  x\t\n y "
@@ -56,16 +56,16 @@ class Model:
         self.byte_fallback = any(lib.is_byte(i) for i in range(size))
         scores = np.array([lib.get_score(i) for i in range(size)])
         order = np.unique(-scores, return_inverse=True)[1].astype(np.int32)  # 0 is the best; ties share a rank
-        pairs = sorted({(self.ids[p[:k]], self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids})
-        self.merge = {(a, b): (int(order[i]), i) for a, b, i in pairs}
-        self.bits = 21
+        self.bits = 19
         self.keys, self.made, self.rank = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), np.full(1 << self.bits, 1 << 30, np.int32)
-        for a, b, i in pairs:
-            key = (a << 21) | b
-            at = int(self._slot(np.array([key], np.int64))[0])
-            while self.keys[at] != -1:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.made[at], self.rank[at] = key, i, order[i]
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    at = self._place(a, b)
+                    self.keys[at], self.made[at], self.rank[at] = (a << 21) | b, i, order[i]
+        if (self.keys >= 0).mean() > 0.7:
+            raise ValueError("the vocabulary has more pairs than the table of pairs is made for")
         surface = []
         for i, p in enumerate(pieces):
             if lib.is_byte(i):
@@ -104,6 +104,19 @@ class Model:
         self.forget()
         self.power = self.inverse = np.zeros(0, np.uint64)
 
+    def _place(self, a: int, b: int) -> int:
+        """The slot of one pair, or the free one where it would go."""
+        key = (a << 21) | b
+        at = (key * 0x2545F4914F6CDD1D & (1 << 64) - 1) >> (64 - self.bits)
+        while self.keys[at] != key and self.keys[at] != -1:
+            at = (at + 1) & ((1 << self.bits) - 1)
+        return at
+
+    def merge(self, a: int, b: int) -> tuple[int, int] | None:
+        """Rank and id of the piece that one pair makes, if it makes one."""
+        at = self._place(a, b)
+        return (int(self.rank[at]), int(self.made[at])) if self.keys[at] != -1 else None
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair makes; a large rank where it makes none."""
         key = (left.astype(np.int64) << 21) | right
@@ -157,8 +170,8 @@ class Model:
         """Work off the agenda of one run: a heap by rank, then place; entries whose symbols changed are skipped."""
         symbols = list(symbols)
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        heap = [(*self.merge[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in self.merge]
-        heap = [(rank, i, made, a, b) for rank, made, i, a, b in heap]
+        made = (self.merge(*p) for p in zip(symbols, symbols[1:], strict=False))
+        heap = [(m[0], i, m[1], symbols[i], symbols[i + 1]) for i, m in enumerate(made) if m]
         heapq.heapify(heap)
         while heap:
             _, i, made, a, b = heapq.heappop(heap)
@@ -169,7 +182,7 @@ class Model:
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := self.merge.get((symbols[left], symbols[right]))):
+                if left >= 0 and right >= 0 and (m := self.merge(symbols[left], symbols[right])):
                     heapq.heappush(heap, (m[0], left, m[1], symbols[left], symbols[right]))
         return [s for s in symbols if s >= 0]
 
