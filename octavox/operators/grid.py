@@ -1,7 +1,7 @@
 """Morphology and set operations on words (shape_id, block, bits): 64 voxels at a time, without voxel rows or neighbour joins.
 
 A step sends each word's six moved copies to its own and the next blocks and merges them there. All of a shape's words
-lie in one partition, so that any number of steps needs one shuffle.
+lie in one partition, so that STAGE_STEPS steps need one shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octavox.functions import words as w
+from octavox.functions.ordered import checkpointed
+
+#: Steps that share a stage; each holds an aggregate's memory until the stage ends.
+STAGE_STEPS = 3
 
 
 
@@ -69,21 +73,26 @@ def steps(amount: float, resolution: float) -> int:
     return max(0, math.ceil(round(abs(amount) / resolution, 9)))
 
 
+def _stepped(words: DataFrame, n: int, step) -> DataFrame:
+    for k in range(n):
+        if k % STAGE_STEPS == 0:
+            words = together(checkpointed(words) if k else words)
+        words = step(words)
+    return words
+
+
 def shrink(words: DataFrame, levels: int, n: int = 1) -> DataFrame:
     """n steps of erosion: cells whose six neighbours are all set; those out of the grid count as set."""
-    words = together(words)
-    for _ in range(n):
+    def step(words: DataFrame) -> DataFrame:
         near = neighbours(words, levels)
-        words = _result(near, _kept(near, levels))
-    return words
+        return _result(near, _kept(near, levels))
+
+    return _stepped(words, n, step)
 
 
 def grow(words: DataFrame, levels: int, n: int = 1) -> DataFrame:
     """n steps of dilation by the six neighbours, within the grid."""
-    words = together(words)
-    for _ in range(n):
-        words = _result(neighbours(words, levels), _or(F.col(c) for c in ("bits", *(f"n{k}" for k in range(6)))))
-    return words
+    return _stepped(words, n, lambda words: _result(neighbours(words, levels), _or(F.col(c) for c in ("bits", *(f"n{k}" for k in range(6))))))
 
 
 def exposed(words: DataFrame, levels: int) -> DataFrame:
@@ -194,47 +203,3 @@ def occupied_by_depth(words: DataFrame, levels: int) -> DataFrame:
     fine = words.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("v"), F.sum(octants).cast("long").alias("o"), F.count("*").alias("b"), *[F.count_distinct(F.shiftright("block", 3 * (levels - 2 - d))).alias(f"d{d}") for d in range(levels - 2)])
     depths = [*[(d, F.col(f"d{d}")) for d in range(levels - 2)], (levels - 2, F.col("b")), (levels - 1, F.col("o")), (levels, F.col("v"))]
     return fine.select("shape_id", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), n.cast("long").alias("n")) for d, n in depths])).alias("e")).select("shape_id", "e.*")
-
-
-def _leaf_bytes(cut: int, fill: bool) -> Column:
-    """The word with each mixed octant of two cells a side rounded by what it lacks or holds."""
-    out = _zero()
-    for k in range(8):
-        byte = F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255))
-        n = F.bit_count(byte)
-        to = F.when((n > 0) & (8 - n < cut), F.lit(255)).otherwise(byte) if fill else F.when((n < 8) & (n < cut), F.lit(0)).otherwise(byte)
-        out = out.bitwiseOR(F.shiftleft(to.cast("long"), 8 * k))
-    return out
-
-
-def rounded(words: DataFrame, levels: int, cut: int, fill: bool) -> DataFrame:
-    """Shapes with octants that lack fewer than `cut` voxels filled, or with those that hold fewer emptied.
-
-    An octant is looked at whole where its eighths are all full or empty: leaves of the octree, from two cells a side
-    up. What a smaller octant decides, its parents decide too, so that each leaf counts for itself.
-    """
-
-    def uniform(k: int) -> Column:
-        byte = F.shiftrightunsigned("bits", 8 * k).bitwiseAND(F.lit(255))
-        return (byte == 0) | (byte == 255)
-
-    whole = uniform(0)
-    for k in range(1, 8):
-        whole = whole & uniform(k)
-    n = F.bit_count("bits")
-    by_word = F.when(64 - n < cut, F.lit(-1)).otherwise(F.col("bits")) if fill else F.when((n < 64) & (n < cut), F.lit(0)).otherwise(F.col("bits"))
-    out = words.select("shape_id", "block", F.when(whole, by_word).otherwise(_leaf_bytes(cut, fill)).cast("long").alias("bits"))
-    if cut > 64:  # only then can a leaf of more than a word change
-        node = words.select("shape_id", F.col("block").alias("node"), F.bit_count("bits").cast("long").alias("n"))
-        for up in range(3, levels + 1):
-            size, eighth = 8**up, 8 ** (up - 1)
-            node = node.groupBy("shape_id", F.shiftright("node", 3).alias("node")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == eighth).alias("full"), F.count("*").alias("some"))
-            leaf = node.where((F.col("full") == F.col("some")) & (F.col("full") < 8)).where((size - F.col("n") < cut) if fill else (F.col("n") < cut)).select("shape_id", F.col("node").alias("leaf"))
-            inside = (1 << 3 * (up - 2)) - 1
-            if fill:
-                added = leaf.select("shape_id", F.explode(F.sequence(F.col("leaf") * (inside + 1), F.col("leaf") * (inside + 1) + inside)).alias("block"), F.lit(-1).cast("long").alias("bits"))
-                out = out.unionByName(added).groupBy("shape_id", "block").agg(F.bit_or("bits").alias("bits"))
-            else:
-                out = out.withColumn("leaf", F.shiftright("block", 3 * (up - 2))).join(leaf, ["shape_id", "leaf"], "left_anti").drop("leaf")
-            node = node.select("shape_id", "node", "n")
-    return out.where("bits <> 0")

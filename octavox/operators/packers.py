@@ -264,10 +264,12 @@ def partition(shapes: DataFrame, limit: int = GROUP, centres: int = CENTRES, sam
             d = distances(dense(part["words"]))
             k = max(2, min(centres, -(-int(part["n"].iat[0]) // limit) + 1))
             own = medoids(d, k) if d.max() > 0 else []
-            return pd.DataFrame({"part": part["part"].iat[0], "centre": range(len(own)), "cwords": [part["words"].iat[k] for k in own], "cvolume": [part["volume"].iat[k] for k in own]})
+            return pd.DataFrame({"part": part["part"].iat[0], "centre": range(len(own)), "shape_id": part["shape_id"].iloc[own]})
 
-        kind = shapes.schema["words"].dataType.simpleString()
-        chosen = checkpointed(sample.select("part", "n", "shape_id", "words", "volume").groupBy("part").applyInPandas(choose, f"part string, centre int, cwords {kind}, cvolume long"))
+        sample = checkpointed(sample.select("part", "n", "shape_id", "words", "volume"))
+        chosen = sample.groupBy("part").applyInPandas(choose, "part string, centre int, shape_id long")
+        words = sample.select("part", "shape_id", F.col("words").alias("cwords"), F.col("volume").alias("cvolume"))
+        chosen = checkpointed(chosen.join(words, ["part", "shape_id"]).drop("shape_id"))
         own = search.tanimoto(search.common("cwords", "words"), F.col("cvolume"), F.col("volume"))
         columns = [*shapes.columns]
         near = big.join(chosen, "part").select("part", "n", *columns, F.struct(own.alias("d"), "centre").alias("c")).groupBy("part", "n", "shape_id").agg(F.min("c").alias("c"), *[F.first(x).alias(x) for x in columns if x != "shape_id"])
