@@ -81,6 +81,122 @@ def test_secrets_match_python(spark, odd, empty):
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == odd.count()
 
 
+def test_secrets_random_spans(spark):
+    """Random keys among ordinary text are found in every encoding; ordinary identifiers and dates are not; p falls with length."""
+    import random
+
+    rng = random.Random(3)
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    alphabets = {"base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+    made = [(10**6 + 100 * k + i, f"see {''.join(rng.choice(a) for _ in range(40))} there") for k, a in enumerate(alphabets.values()) for i in range(40)]
+    plain = [(10**7 + i, f"on 2024-01-{i % 28 + 1:02d} and the-ordinary-name-of-a-thing-{i} or aaaaaaaaaaaaaaaaaaaaaaaa{i}{i}") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.find(prose.union(spark.createDataFrame(made + plain, "doc_id long, text string")))).collect()}
+    found = [got[i].startswith("random:4:44") for i, _ in made]
+    assert sum(found) >= 0.9 * len(found) and not any("random" in got[i] for i, _ in plain)
+
+
+def test_secrets_battery_matches_python(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (20, 33, 2500)] + ["ab1" * 9, "x1" + "z" * 30]
+    words = spark.createDataFrame([(0, "ordinarywords somewhatlonger and-another-thing abcdefabcdef")], "doc_id long, text string")
+    pairs = {r["pair"]: r["log_p"] for r in secrets.ordinary_pairs(words).collect()}
+    rest = {r["first"]: r["log_rest"] for r in secrets.ordinary_pairs(words).collect()}
+    frame = spark.createDataFrame([(i, 0, len(t), t) for i, t in enumerate(tokens)], "row long, start int, end int, token string")
+    got = {r["row"]: r for r in secrets.battery(frame, secrets.ordinary_pairs(words)).collect()}
+    tail = lambda z: math.erfc(min(abs(z), 30) / math.sqrt(2))
+    for i, t in enumerate(tokens):
+        hexes = all(c in "0123456789abcdef" for c in t)
+        alphabet = "0123456789abcdef" if hexes else "0123456789abcdefghijklmnopqrstuvwxyz"
+        c, k, n = np.array([alphabet.index(x) for x in t], float), len(alphabet), len(t)
+        cells = max(2, min(8, n // 4))
+        o = np.bincount(np.floor(c * cells / k).astype(int), minlength=cells)
+        e = np.array([n * (math.ceil((j + 1) * k / cells) - math.ceil(j * k / cells)) / k for j in range(cells)])
+        chi, df = ((o - e) ** 2 / e).sum(), cells - 1
+        z_chi = max(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)), 0)
+        high = c >= k / 2
+        mu = 1 + 2 * high.sum() * (n - high.sum()) / n
+        var = (mu - 1) * (mu - 2) / (n - 1)
+        z_runs = ((high[1:] != high[:-1]).sum() + 1 - mu) / math.sqrt(var) if 0 < high.sum() < n and var > 0 else 30
+        d = c - c.mean()
+        z_serial = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() > 0 else 30
+        p = min(1, 3 * min(tail(z_chi) / 2, tail(z_runs), tail(z_serial)))
+        ratio = sum(-math.log(k) - pairs.get(a + b, rest.get(a, -math.log(secrets.CHARACTERS))) for a, b in zip(" " + t, t))
+        assert abs(got[i]["p_random"] - p) < 1e-5 and abs(got[i]["ratio"] - ratio) < 1e-6, t
+        want = min(1, secrets.ENCODINGS * math.exp(-ratio) / p) if got[i]["p_random"] >= secrets.REJECT else 1
+        assert got[i]["p"] == pytest.approx(want, rel=1e-3)
+
+
+def test_secrets_in_long_texts_and_clashing_columns(spark):
+    text = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(8000)) + " é token=abcdefghijklmnop tail"
+    table = spark.createDataFrame([(1, text, "f", "i", "h", "m"), (1, text, "g", "i", "h", "m"), (None, "AKIA" + "Q" * 16, "", "", "", "")], "doc_id long, text string, found string, i string, h string, marks string")
+    got = secrets.find(table).where("doc_id = 1").collect()
+    assert len(got) == 2 and len(got[0]["base"]) == 8001
+    masked = secrets.redact(table).collect()
+    assert [r["text"] for r in masked if r["doc_id"] == 1] == ["\n".join([secrets.MASK] * 8000) + f" é {secrets.MASK} tail"] * 2
+    assert [r["text"] for r in masked if r["doc_id"] is None] == [secrets.MASK] and sorted(r["found"] for r in masked) == ["", "f", "g"]
+
+
+def test_label_model_estimates_voters():
+    """Synthetic votes of known rates: rates and labels are found again without any gold, correlated voters share their weight."""
+    rng = np.random.default_rng(1)
+    y = rng.random(6000) < 0.3
+    rates = np.array([[0.02, 0.05, 0.1, 0.3], [0.7, 0.8, 0.6, 0.4]])
+    votes = (rng.random((6000, 4)) < rates[y.astype(int)]).astype(float)
+    votes = np.column_stack([votes, votes[:, 0]])
+    model = toxicity.LabelModel.fit(votes, 0.3, toxicity.first_guess(votes, 5, 0.3))
+    assert np.abs(model.rates[:, :4] - rates).max() < 0.06
+    assert model.correlation[0, 4] > 0.99 and model.shares[0] + model.shares[4] < 1.3 and model.shares[1] > 0.7
+    assert np.abs(model.accuracies()[:4] - (0.3 * rates[1] + 0.7 * (1 - rates[0]))).max() < 0.05
+    posterior = model.posterior(votes)
+    assert ((posterior > 0.5) == y).mean() > 0.88 and ((posterior > 0.5) != y).any()  # not the gold label itself
+
+
+def test_folded_filters_match_a_direct_convolution():
+    from octavox.llm import bytecnn
+
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 110, (60, 64 + bytecnn.TAIL)).astype(np.uint8)
+    there = np.arange(64 + bytecnn.TAIL) < rng.integers(3, 69, 60)[:, None]
+    net = bytecnn.train(raw, there, rng.integers(0, 2, 60), ["a", "b"], size=64, step=64, fold_case=False, repeats=True, epochs=1)
+    symbols, counts = np.where(there, net.symbol[raw], 0), bytecnn.repeat_counts(raw, there, 64)
+    got = bytecnn.pooled(net, net.folded(), symbols, counts)
+    for r in range(60):
+        want, own = [], 0
+        for taps in net.taps:
+            for f in range(taps.shape[2]):
+                at = [sum(taps[k, symbols[r, i + k], f] for k in range(len(taps))) + net.bias[own] + net.repeat[counts[r, i], own] for i in range(64)]
+                want.append(max(0, max(at)))
+                own += 1
+        assert np.allclose(got[r], want, atol=1e-4)
+
+
+def test_nearest_codes_decide():
+    """At a depth where codes decide, wrong codes lose recall; the allowance keeps all."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 64))
+    books = ann.fit(x[:3000])
+    codes = ann.assign(x, books, ann.PARALLEL_WEIGHT)
+    wrong = codes[rng.permutation(len(x))]
+    hit = {"right": [], "wrong": [], "kept": [], "share": []}
+    for q in range(40):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        best = np.argsort(-exact)[:20]
+        for name, c in (("right", codes), ("wrong", wrong)):
+            rough = ann.scan(c, x[q : q + 1], books)[0].astype(float)
+            rough[q] = -np.inf
+            hit[name].append(np.isin(best, np.argsort(-rough)[:60]).mean())
+        s, left, size = ann.residuals(x, codes, books)
+        most = ann.upper(ann.scan(codes, x[q : q + 1], books)[0].astype(float), s, left, size, float(np.linalg.norm(x[q])), 64)
+        hit["kept"].append((most[best] >= exact[best[-1]]).mean())
+        hit["share"].append((most >= exact[best[-1]]).mean())
+    mean = {k: np.mean(v) for k, v in hit.items()}
+    assert mean["right"] > 0.7 and mean["wrong"] < 0.1 and mean["kept"] > 0.999 and mean["share"] < 0.15
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 64)).astype(np.float32)
@@ -138,6 +254,23 @@ def test_embedding_links_match_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (100, 101, 102))
 
 
+def test_embedding_cells_lose_no_link(spark):
+    """Pivots, cells and visits in a label of several tiles: near copies at the threshold, clashing columns, an empty table."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    x[::3] = x[0] + rng.normal(size=x[::3].shape) * 0.15
+    x[1::3] = np.repeat(x[1::3][:60], 5, 0) + rng.normal(size=(300, 24)) * 0.13
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist(), i % 2, "clash", "clash") for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int, cell string, rep string")
+    y = x.astype(np.float64)
+    c = (y @ y.T) / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1))
+    want = ((c >= 0.98) & (np.arange(900)[:, None] % 2 == np.arange(900) % 2)).sum(1) - 1
+    for tile in (40, 4096):
+        got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(table, tile=tile).collect()}
+        assert [got[i] for i in range(900)] == want.tolist()
+    assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
@@ -169,6 +302,46 @@ def test_minhash_matches_brute_force(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows of one id are one document, of the least text; each row gets the result."""
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, None), (4, "")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (2, 2), (3, 2), (4, 4), (4, 4)]
+
+
+def test_mixing_rates_match_a_dual(spark):
+    """Rates against a plain solution of the dual, copies within one of them, targets of many sources."""
+    import random
+
+    rng = random.Random(2)
+    data = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 50, 200])), f"s{i % 7}") for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).toPandas()
+    for _, part in got.groupby("source"):
+        size, target = part["size"].to_numpy(float), part["target"].iat[0]
+        if target >= 3 * size.sum() - 1e-6:
+            assert (part.rate == 3).all()
+            continue
+        low, high = -20.0, 20.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (size * np.minimum(3, np.exp(mid * size / size.mean()))).sum() > target else (mid, high)
+        assert np.allclose(part.rate, np.minimum(3, np.exp(low * size / size.mean())), atol=1e-6)
+        assert (abs(part.copies - part.rate) <= 1).all() and abs(part.taken.sum() - target) <= 1
+
+
+def test_targets_without_a_single_task(spark):
+    sizes = [(f"s{i:03d}", (i * 7919) % 1000 + 1) for i in range(200)] + [(None, 50)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weight, size, target, free = np.array([1.0 + i % 3 for i in range(201)]), np.array([n for _, n in sizes], float), np.zeros(201), np.ones(201, bool)
+    while True:
+        target[free] = (size.sum() - target[~free].sum()) * weight[free] / weight[free].sum()
+        over = free & (target > 3 * size)
+        if not over.any():
+            break
+        target[over], free = 3 * size[over], free & ~over
+    assert np.allclose([got[s] for s, _ in sizes], target)
+
+
 def test_mixing(spark, odd, empty):
     for table in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
         got = mixing.mix(table).toPandas()
@@ -219,6 +392,20 @@ def test_url_filter_odd_rows(spark):
     assert urlfilter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_captures_one_by_one(spark):
+    """Repeated and null ids, user parts, case, ports, clashing columns, no captures; intervals over months against plain Python."""
+    rows = [(1, "http://ok.com@bad.com/x", "a"), (1, "http://ok.com@bad.com/x", "a"), (None, "HTTP://Bad.com/Q", "a"), (None, "HTTP://Bad.com/Q", "a"), (2, "http://good.com/Path", "a"), (3, "http://good.com/path", "a"), (4, "http://[::1]:80/x", "a")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, pattern string").withColumn("fetched_on", F.to_date(F.lit("2024-06-01")))
+    entries = spark.createDataFrame([("bad.com", "2024-01-01", "block", 1), ("http://good.com/Path", "2024-01-01", "block", 2), ("http://[::1]:80/x", "2024-01-01", "block", 3)], "pattern string, day string, action string, seq long").select("pattern", F.to_date("day").alias("dated"), "action", "seq")
+    got = urlfilter.evaluate(captures, entries).collect()
+    assert len(got) == 7 and sorted((r["page_id"] or 0, r["blocked"]) for r in got) == [(0, True), (0, True), (1, True), (1, True), (2, True), (3, False), (4, True)]
+    assert urlfilter.evaluate(captures.limit(0), entries).count() == 0
+    days = [(p, f"2024-{m:02d}-{d:02d}", "block" if (m * d) % 3 else "unblock", m * 100 + d) for p in "ab" for m in range(1, 12, 2) for d in (1, 7, 28)]
+    spans = urlfilter.intervals(spark.createDataFrame(days, "pattern string, day string, action string, seq long").select("pattern", F.to_date("day").alias("dated"), "action", "seq")).collect()
+    want = [(p, own[k][1], own[k + 1][1] if k + 1 < len(own) else None) for p in "ab" for own in [sorted(x for x in days if x[0] == p)] for k in range(len(own)) if own[k][2] == "block"]
+    assert sorted((r[0], str(r[1]), str(r[2]) if r[2] else None) for r in spans) == sorted(want) or sorted(map(repr, ((r[0], str(r[1]), str(r[2]) if r[2] else None) for r in spans))) == sorted(map(repr, want))
+
+
 def test_pipeline(spark):
     got = __spark_entry__.queries()["pipeline"](spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
@@ -227,7 +414,61 @@ def test_pipeline(spark):
 def test_pipeline_stages_take_odd_rows(spark, odd):
     import corpus_pipeline
 
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("clash").alias(c) for c in ("found", "_id", "_hash", "i", "h", "d", "n", "turn", "marks", "size")])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.01").columns == docs.columns, name
     assert corpus_pipeline.drop_copies(spark, docs, SF).where("text = 'same text here'").count() == 1
+
+
+def test_pipeline_stages_match_plain_python(spark):
+    """Every stage's rows against a plain version, on a fixture of a few hundred documents."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
+    key = lambda frame: sorted((repr(r["doc_id"]), r["text"] or "") for r in frame.collect())
+    net = quality.fit(docs, queries.learnable(spark.read.parquet(f"{sf}/labels.parquet"), 3, 1))
+    good = {r["doc_id"] for r in quality.score(docs, net).collect() if r["score"] >= 0.5}
+    kept = corpus_pipeline.keep_good(spark, docs, sf)
+    assert key(kept) == sorted((repr(r["doc_id"]), r["text"] or "") for r in docs.collect() if r["doc_id"] in good and r["text"])
+    extra = spark.createDataFrame([(1000, "twice the same id " * 5, "en", "s", 1), (1000, "another text here " * 5, "en", "s", 1), (None, "no id", "en", "s", 1), (None, "no id", "en", "s", 1)], docs.schema)
+    rows = docs.union(extra).collect()
+    own = {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            own[r["doc_id"]] = min(own.get(r["doc_id"], r["text"]), r["text"]) if r["text"] is not None else own.get(r["doc_id"])
+    sets = {i: shingles(t, 5) for i, t in own.items()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = sorted([(repr(i), own[i] or "") for i in ids if top(i) == i] + [("None", "no id")] * 2)
+    single = corpus_pipeline.drop_copies(spark, docs.union(extra), sf)
+    assert key(single) == want
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, sf).collect()}
+    for r in secrets.digests(secrets.find(docs)).join(docs.select("doc_id", "text"), "doc_id").collect():
+        text, end, out = r["text"] or "", 0, []
+        for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x):
+            if s >= end:
+                out += [text[end:s], secrets.MASK]
+            end = max(end, e)
+        assert (masked[r["doc_id"]] or "") == "".join(out) + text[end:]
+    times = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    assert key(corpus_pipeline.mix_sources(spark, docs, sf)) == sorted((repr(r["doc_id"]), r["text"] or "") for r in docs.collect() for _ in range(times[r["doc_id"]]))
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary())
+    got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.tokenize(spark, docs, sf).collect()}
+    for r in docs.collect():
+        ids = lib.encode(r["text"] or "")
+        assert got[r["doc_id"]] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
