@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, minhash, mixing, quality, secrets, sentencepiece_bpe, toxicity, urlfilter
+from . import alignment, ann, embed_dedup, langid, minhash, mixing, quality, quality_rules, secrets, sentencepiece_bpe, toxicity, urlfilter
 from .common import read, remainder
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.statistics(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary())
+
+
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)(:[0-9]*)?([^?#]*)"
 OP6_SQL = rf"""
 WITH h AS (SELECT row_number() OVER () AS capture, page_id, url, regexp_replace(lower(regexp_extract(url, '{_URL}', 2)), '\.$', '') AS host,
@@ -142,10 +150,35 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.do
 """
 )
 
+_MEASURES = ", ".join(f"('{r}', {quality_rules.RULES[r][0].split(' / ')[0]}::DOUBLE / nullif({quality_rules.RULES[r][0].split(' / ')[1]}, 0))" for r in quality_rules.RULES)
+_CUTS = ", ".join(f"('{r}', {i}, {c!r}::DOUBLE, {k})" for k, r in enumerate(quality_rules.RULES) for i, c in enumerate(quality_rules.cuts(r)))
+_SHARE = quality_rules.LOSS / len(quality_rules.RULES)
+OP12_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 1, 1))) AS i)),
+u AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM u, (VALUES (0), (1), (2)) v(d) GROUP BY doc_id),
+f AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals FROM w LEFT JOIN p ON p.doc_id = w.doc_id),
+e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+l AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT stratum, good, m.* FROM e JOIN l ON l.doc_id = e.doc_id, LATERAL (VALUES {_MEASURES}) m(rule, worth) WHERE NOT base_failed),
+s AS (SELECT DISTINCT stratum FROM h),
+c AS (SELECT * FROM (VALUES {_CUTS}) c(rule, step, cut, turn)),
+k AS (SELECT s.stratum, c.rule, step, cut, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad,
+    coalesce(sum((worth > cut)::INT) FILTER (WHERE good), 0) AS g, coalesce(sum((worth > cut)::INT) FILTER (WHERE NOT good), 0) AS b FROM s JOIN h ON h.stratum = s.stratum JOIN c ON c.rule = h.rule GROUP BY ALL),
+q AS (SELECT *, list_sum(list_transform(range(0, g::BIGINT + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({_SHARE!r}) + (n_good - i) * ln(1 - {_SHARE!r})))) AS tail FROM k),
+o AS (SELECT *, bool_and(n_good > 0 AND tail <= {quality_rules.RISK!r} / ({len(quality_rules.RULES)} * (SELECT count(*) FROM s))) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed, b / nullif(n_bad, 0) - g / nullif(n_good, 0) AS gain FROM q),
+y AS (SELECT stratum, rule, cut FROM o WHERE passed AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
+z AS (SELECT e.doc_id, string_agg(m.rule, ',' ORDER BY turn) AS broken FROM e, LATERAL (VALUES {_MEASURES}) m(rule, worth) JOIN y ON y.stratum = e.stratum AND y.rule = m.rule AND m.worth > y.cut JOIN (SELECT DISTINCT rule, turn FROM c) r ON r.rule = y.rule GROUP BY e.doc_id)
+SELECT e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, stratum, coalesce(broken, '') AS broken FROM e LEFT JOIN z ON z.doc_id = e.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_nearest_neighbours, op4_secret_scan, op5_toxicity, op6_url_filter, op7_embedding_dedup, op8_quality, op9_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_nearest_neighbours, op4_secret_scan, op5_toxicity, op6_url_filter, op7_embedding_dedup, op8_quality, op9_mixing, op10_minhash, op12_quality_rules, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_minhash": OP10_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_minhash": OP10_SQL, "op12_quality_rules": OP12_SQL}
