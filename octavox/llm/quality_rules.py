@@ -45,27 +45,27 @@ def _same(a: Column, b: Column) -> Column:
 def counts(documents: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the columns `keep`, and the counts of every row's whole text; a null text has no words.
 
-    The three-word windows of a text are sorted with their places; equal neighbours are the repeated ones, and the words
-    that they cover are counted from the gaps between their places. Nothing leaves the row, so nothing is shuffled; an
+    The three-word windows of a text, if any of their hashes is found twice, are sorted with their places; equal
+    neighbours are the repeated ones, and the words that they cover are counted from the gaps between their places. Nothing leaves the row, so nothing is shuffled; an
     executor holds some two hundred bytes a word of the text in hand.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, w, n = F.coalesce(F.col("text"), F.lit("")), F.col("_words"), F.size("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    plain = F.translate(text, " \t\n\x0b\x0c\r", "")
     length = lambda c: F.char_length(c).cast("long")
     parts = documents.select(
         "doc_id",
         *keep,
-        F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"),
+        F.array_remove(F.split(text, SPACE), "").alias("_words"),
         lines.alias("_lines"),
-        length(plain).alias("word_chars"),
         (length(text) - length(F.translate(text, "#*$%&|<>", ""))).alias("n_symbols"),
         length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).alias("n_capitals"),
     )
-    w, n = F.col("_words"), F.size("_words")
+    # a text whose windows have different hashes repeats none; only the others are sorted
+    triples = lambda make: F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), make)
     window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("at"))
-    windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)))
-    parts = parts.withColumns({"_windows": windows, "n_words": n.cast("long"), "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
+    hashes = F.when(n >= 3, F.size(F.array_distinct(triples(lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))))
+    windows = F.when(hashes < n - 2, F.sort_array(triples(window)))
+    parts = parts.withColumns({"_windows": windows, "word_chars": length(F.array_join("_words", "")), "n_words": n.cast("long"), "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
     s = F.col("_windows")
     again = F.filter(s, lambda x, i: F.coalesce(_same(x, F.get(s, i + 1)), F.lit(False)) | F.when(i > 0, _same(x, F.get(s, i - 1))).otherwise(F.lit(False)))
     places = F.sort_array(F.transform(again, lambda x: x["at"]))
@@ -89,6 +89,12 @@ def cuts(rule: str) -> list[float]:
     return [lenient + (strict - lenient) * i / (CUTS - 1) for i in range(CUTS)]
 
 
+def _cut(rule: str, step: Column) -> Column:
+    """`cuts` of a step."""
+    _, lenient, strict = RULES[rule]
+    return lenient + (strict - lenient) * step / (CUTS - 1)
+
+
 def log_gamma(x: Column) -> Column:
     """Logarithm of the gamma function for x >= 1: Stirling's series eight steps further up, less the steps."""
     y = x + 8
@@ -123,17 +129,20 @@ def certify(holdout: DataFrame) -> DataFrame:
 
     `holdout` has stratum, good (boolean) and the counts; rows of a null `good` are not read.
     """
+    steps = F.sequence(F.lit(0), F.lit(CUTS - 1))
+
     def first_cut(r):
         """The first cutoff that rejects; CUTS where none does."""
-        kept_by = F.filter(F.array(*map(F.lit, cuts(r))), lambda c: c >= measure(r))
+        kept_by = F.filter(steps, lambda i: _cut(r, i) >= measure(r))
         return F.struct(F.lit(r).alias("rule"), F.when(measure(r).isNull(), CUTS).otherwise(F.size(kept_by)).alias("step"))
 
     seen = holdout.where("good is not null").select("stratum", "good", F.inline(F.array(*map(first_cut, RULES))))
     number = lambda good: F.sum(F.when(F.col("good") == F.lit(good), 1).otherwise(0))
     rejected = materialise(seen.groupBy("stratum", "rule", "step").agg(number(True).alias("g"), number(False).alias("b")))
     strata, n_strata = counted(rejected.select("stratum").distinct())
-    grid = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut")) for r in RULES for i, c in enumerate([*cuts(r), None])]
-    cells = strata.select("stratum", F.inline(F.array(*grid)))
+    cell = lambda r: lambda i: F.struct(F.lit(r).alias("rule"), i.alias("step"), F.when(i < CUTS, _cut(r, i)).alias("cut"))
+    grid = [F.transform(F.sequence(F.lit(0), F.lit(CUTS)), cell(r)) for r in RULES]
+    cells = strata.select("stratum", F.inline(F.concat(*grid)))
     whole = Window.partitionBy("stratum", "rule")
     up = whole.orderBy("step")
     totals = [F.sum(F.coalesce(c, F.lit(0))).over(w).alias(name) for c, w, name in (("g", whole, "n_good"), ("b", whole, "n_bad"), ("g", up, "good_rejected"), ("b", up, "bad_rejected"))]
