@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, embed_dedup, langid, minhash, mixing, quality, quality_rules, secrets, sentencepiece_bpe, toxicity, urlfilter
-from .common import read, remainder
+from . import alignment, ann, conversation_trie, embed_dedup, langid, minhash, mixing, quality, quality_rules, secrets, sentencepiece_bpe, toxicity, urlfilter
+from .common import materialise, read, remainder
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -88,6 +88,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
+def branched(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns of conversations that share beginnings, and every conversation's number of turns.
+
+    Conversation c has the first crc32(c) % 9 turns of conversation c - c % 5, then its own turns after as many.
+    """
+    n = turns.groupBy("conv_id").agg(F.max("at").alias("n"))
+    first = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(9)).alias("first")
+    n = n.select("conv_id", "n", first, (F.col("conv_id") - F.col("conv_id") % 5).alias("stem"))
+    stems = n.select(F.col("conv_id").alias("stem"), F.col("n").alias("n_stem"))
+    n = n.join(stems, "stem", "left").select("conv_id", "stem", "first", F.least("first", F.coalesce("n_stem", F.lit(0))).alias("taken"), "n")
+    n = materialise(n.withColumn("n_turns", F.col("taken") + F.greatest(F.col("n") - F.col("first"), F.lit(0))))
+    heads = turns.where("at <= 8").withColumnRenamed("conv_id", "stem").join(n.select("conv_id", "stem", "taken"), "stem").where("at <= taken").select("conv_id", "at", "digest", "n_bytes")
+    tails = turns.join(n.select("conv_id", "first", "taken"), "conv_id").where("at > first").select("conv_id", (F.col("at") - F.col("first") + F.col("taken")).alias("at"), "digest", "n_bytes")
+    return heads.union(tails), n.select("conv_id", "n_turns")
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = branched(conversation_trie.ordered(read(spark, sf_dir, "conversations")))
+    return conversation_trie.trie(turns, lengths)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -150,6 +171,23 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.do
 """
 )
 
+_BIT = "CASE WHEN o >= 256 THEN xor(c, o - 256) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+OP11_SQL = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [256 + ascii(d), 1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]))), lambda c, o: {_BIT}), 4294967295) % 9 AS h, conv_id - conv_id % 5 AS stem FROM t GROUP BY conv_id),
+m AS (SELECT n.*, least(h, coalesce((SELECT s.n FROM n s WHERE s.conv_id = n.stem), 0)) AS taken FROM n),
+r AS (SELECT m.conv_id, i, role, text FROM m JOIN t ON t.conv_id = stem AND i <= taken UNION ALL SELECT m.conv_id, i - h + taken, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND i > h),
+p AS (SELECT conv_id, i AS depth, sha256(string_agg(sha256(role || chr(31) || sha256(text)), '') OVER (PARTITION BY conv_id ORDER BY i)) AS k, octet_length(encode(text)) AS w FROM r
+    UNION ALL SELECT conv_id, 0, '', 0 FROM n),
+q AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+v AS (SELECT k, any_value(up) AS up, any_value(depth) AS depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS own FROM q GROUP BY k),
+c AS (SELECT up AS k, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+x AS (SELECT v.*, coalesce(c.n, 0) AS n_children FROM v LEFT JOIN c ON c.k = v.k),
+s AS (SELECT q.k, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.w) AS saved FROM x JOIN q ON q.conv_id = x.conv_id AND q.depth <= x.depth GROUP BY q.k)
+SELECT x.conv_id, x.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(x.own, '')) AS ends_sha256
+FROM x JOIN s ON s.k = x.k LEFT JOIN x u ON u.k = x.up
+"""
+
 _MEASURES = ", ".join(f"('{r}', {quality_rules.RULES[r][0].split(' / ')[0]}::DOUBLE / nullif({quality_rules.RULES[r][0].split(' / ')[1]}, 0))" for r in quality_rules.RULES)
 _CUTS = ", ".join(f"('{r}', {i}, {c!r}::DOUBLE, {k})" for k, r in enumerate(quality_rules.RULES) for i, c in enumerate(quality_rules.cuts(r)))
 _SHARE = quality_rules.LOSS / len(quality_rules.RULES)
@@ -177,8 +215,8 @@ SELECT e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_nearest_neighbours, op4_secret_scan, op5_toxicity, op6_url_filter, op7_embedding_dedup, op8_quality, op9_mixing, op10_minhash, op12_quality_rules, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_nearest_neighbours, op4_secret_scan, op5_toxicity, op6_url_filter, op7_embedding_dedup, op8_quality, op9_mixing, op10_minhash, op11_conversation_trie, op12_quality_rules, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_minhash": OP10_SQL, "op12_quality_rules": OP12_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_minhash": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_quality_rules": OP12_SQL}
