@@ -3,6 +3,7 @@ import sys
 import tempfile
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -32,5 +33,13 @@ def duck():
 def rows(frame):
     """Rows as sorted tuples, columns by name, nulls alike."""
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else (str(v)[:10] if hasattr(v, "year") else (v.item() if hasattr(v, "item") else v))
+
+    def plain(v):
+        if v is None or v is pd.NA or v != v:
+            return None
+        if hasattr(v, "year"):
+            return str(v)[:10]
+        v = v.item() if hasattr(v, "item") else v
+        return int(v) if isinstance(v, float) and v.is_integer() else v  # a column of longs with a null comes as doubles
+
     return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=repr)
