@@ -13,9 +13,10 @@ from .common import partitions, ragged
 SUBSPACE, CENTROIDS, FIT_ROWS = 2, 16, 10_000
 #: Weight of the residual along the vector against the residual across it.
 PARALLEL_WEIGHT = 4.0
-#: Code blocks at least, vectors of a block and of a query block at most; per block and query, candidates that set the
-#: first threshold; queries of a block that are scanned at a time.
-BLOCKS, BLOCK_ROWS, QUERY_ROWS, RERANK, TURN = 24, 32_768, 16_384, 48, 128
+#: Tasks at least, vectors of a block and of a query block at most; per block and query, candidates that set the
+#: threshold; queries of a block that are scanned at a time. A block's threshold comes from its own rows: few, large
+#: blocks, and more query blocks where tasks are wanted.
+TASKS, BLOCK_ROWS, QUERY_ROWS, RERANK, TURN = 24, 32_768, 16_384, 48, 128
 #: Cosine of a query and a code from which on a residual is bounded strictly; below, the standard deviations that it is
 #: given, as it then has no favoured direction among those across the code.
 ALIKE, SPREAD = 0.6, 4.5
@@ -127,52 +128,57 @@ def upper(rough: np.ndarray, scale: np.ndarray, left: np.ndarray, size: np.ndarr
     return np.where(np.isfinite(most), most + 1e-9 * norm * (left + size), np.inf)
 
 
-def rerank(block: pd.DataFrame, rows: np.ndarray, rough: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, top: int, depth: int) -> pd.DataFrame:
-    """For each query its `top` rows by exact product, ties to smaller ids; `block` has one row a vector with its sorted ids.
+def rerank(block: pd.DataFrame, rows: np.ndarray, rough: np.ndarray, query_ids: np.ndarray, keys: np.ndarray, queries: np.ndarray, top: int, depth: int) -> pd.DataFrame:
+    """For each query its `top` rows of this block by exact product, ties to smaller ids; `block` has one row a vector with its sorted ids.
 
-    The `depth` vectors of largest allowance set a threshold; every vector whose allowance reaches it is multiplied exactly.
+    The `depth` vectors of largest allowance set a threshold; every vector whose allowance reaches it is multiplied
+    exactly. The query's own row is taken out once. `tried` of a query's first row is the number of exact products.
     """
     scale, left, size = (block[c].to_numpy(np.float64) for c in ("scale", "remains", "size"))
     lengths, flat = block["ids"].map(len).to_numpy(np.int64), np.concatenate(block["ids"].to_numpy())
     starts = np.cumsum(lengths) - lengths
-    low, high = flat[starts], flat[starts + lengths - 1]
     longest = np.sqrt((rows**2).sum(1).max())
     found: list[tuple] = []
     for k, q in enumerate(queries):
         norm = float(np.sqrt((q * q).sum()))
         most, slack = upper(rough[k].astype(np.float64), scale, left, size, norm, rows.shape[1]), 1e-12 * norm * longest
-        most[(low == query_ids[k]) & (high == query_ids[k])] = -np.inf
-        near = np.flatnonzero((most >= floors[k]) & (most > -np.inf))
-        if len(near) > depth >= top:
-            first = near[np.argpartition(most[near], len(near) - depth)[len(near) - depth :]]
-            near = near[most[near] >= np.partition(rows[first] @ q, depth - top)[depth - top] - slack]
-        if len(near) > top:
-            score = rows[near] @ q
-            near = near[score >= np.partition(score, len(near) - top)[len(near) - top] - slack]
-        if not len(near):
-            continue
+        # Of the vectors that begin, one may be the query's own, so one more is asked for.
+        want = min(top + 1, len(most))
+        first = np.argpartition(most, len(most) - depth)[len(most) - depth :] if len(most) > depth > want else np.arange(len(most))
+        near = first
+        if len(first) < len(most):
+            least = np.partition(rows[first] @ q, len(first) - want)[len(first) - want] - slack
+            near = np.flatnonzero(most >= least)
+        score = rows[near] @ q
+        tried = len(np.union1d(first, near))
+        if len(near) > want:
+            near = near[score >= np.partition(score, len(near) - want)[len(near) - want] - slack]
         exact = np.repeat([float(np.dot(q, v)) for v in rows[near]], lengths[near])
         ids = flat[ragged(starts[near], lengths[near])]
-        exact, ids = exact[ids != query_ids[k]], ids[ids != query_ids[k]]
+        own = np.flatnonzero((ids == query_ids[k]) & np.repeat((rows[near] == q).all(1), lengths[near]))
+        exact, ids = np.delete(exact, own[:1]), np.delete(ids, own[:1])
         best = np.lexsort((ids, -exact))[:top]
-        found.append((np.full(len(best), query_ids[k]), ids[best], exact[best]))
-    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+        n_tried = np.zeros(len(best), np.int64)
+        n_tried[:1] = tried
+        found.append((np.full(len(best), query_ids[k]), np.full(len(best), keys[k]), ids[best], exact[best], n_tried))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0), np.zeros(0, np.int64)]
+    return pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score", "tried"), columns, strict=True)))
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, blocks: int = BLOCKS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's `top` rows of largest inner product, ties to smaller ids.
+def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, tasks: int = TASKS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score, query_key, n_exact: each query's `top` rows of largest inner product, ties to smaller ids.
 
     `vectors` has vec_id (long) and embedding (array of float); `is_query` is a boolean column that marks the
     queries. Every different vector is coded once; the codebooks are fitted on FIT_ROWS rows at most. Codes are
     scanned block by block, and all vectors of a block are multiplied exactly whose scanned product plus the allowance
-    for their residual (see `upper`) reaches the block's `top`th exact product of the first `depth`, or the `top`th
-    among the fitting rows; there is no cap on their number. Of the copies of a vector the smallest top + 1 ids take part. Vectors that are
-    null, zero, of another length than the commonest or with null or non-finite components take no part, nor do
-    rows without an id; an empty table gives no rows; repeated ids are candidates of their own. Other columns are
-    not read.
+    for their residual (see `upper`) reaches the last exact product needed of the `depth` best-scanned; there is no cap on
+    their number, which n_exact gives for the query over all blocks. Of the copies of a vector the smallest top + 1 ids take
+    part. Vectors that are null, zero, of another length than the commonest or with null or non-finite components take no
+    part, nor do rows without an id; an empty table gives no rows. Rows that repeat an id are candidates and queries of
+    their own: a query leaves out its own row only, and lists of one query_id differ in query_key, a hash of the vector; rows
+    that repeat an id and a vector ask once, each seeing the others. Other columns are not read.
     """
-    columns = "query_id long, rank int, vec_id long, score double"
+    columns = "query_id long, rank int, vec_id long, score double, query_key long, n_exact long"
     d = dimension_of(vectors, "embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & valid("embedding", d)).select("vec_id", "embedding", is_query.alias("asks"))
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
@@ -183,7 +189,6 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
         sample = rows.select("vec_id", "embedding").limit(FIT_ROWS).toPandas()
     books = fit(matrix(sample["embedding"], np.float64))
     width = len(books) * SUBSPACE
-    known, known_ids = matrix(sample["embedding"]), sample["vec_id"].to_numpy()
 
     def code(batches):
         for part in batches:
@@ -194,20 +199,8 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
                 part["scale"], part["remains"], part["size"] = residuals(x, codes, books)
                 yield part
 
-    def floor(batches):
-        # The `top`th exact product among the fitting rows, which are candidates too.
-        x = known.astype(np.float64).T
-        longest = np.sqrt((x**2).sum(0).max())
-        for batch in batches:
-            for begin in range(0, len(batch), 256):
-                part = batch.iloc[begin : begin + 256].copy()
-                q = matrix(part["query"], np.float64)
-                score = np.where(part["query_id"].to_numpy()[:, None] == known_ids, -np.inf, q @ x)
-                least = np.partition(score, x.shape[1] - top, axis=1)[:, x.shape[1] - top] if x.shape[1] >= top else np.full(len(q), -np.inf)
-                part["floor"] = least - 1e-12 * longest * np.sqrt((q**2).sum(1))
-                yield part
-
-    block_count, query_blocks = max(blocks, -(-n // BLOCK_ROWS)), -(-asked // QUERY_ROWS)
+    block_count = -(-n // BLOCK_ROWS)
+    query_blocks = max(-(-asked // QUERY_ROWS), -(-tasks // block_count))
     place = F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(block_count)).cast("int")
     turn = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int")
     # Window limits are applied before the shuffle, so that a vector of very many copies brings few ids from each task.
@@ -217,23 +210,24 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, depth: int = RERANK, bl
     different = copies.groupBy("embedding").agg(ids.alias("ids"))
     coded = different.mapInPandas(code, "embedding array<float>, ids array<long>, codes binary, scale double, remains double, size double")
     coded = coded.withColumn("block", place).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), turn.alias("turn"))
-    queries = queries.mapInPandas(floor, "query_id long, query array<float>, turn int, floor double").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))))
+    queries = rows.where("asks").select("vec_id", "embedding").distinct()
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.xxhash64("embedding").alias("query_key"), turn.alias("turn")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block_count - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": [], "tried": []})
         packed = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(left), -1)[:, : len(books)]
         x, found = matrix(left["embedding"], np.float64), []
         for begin in range(0, len(right), TURN):
             part = right.iloc[begin : begin + TURN]
             q = matrix(part["query"], np.float64)
-            found.append(rerank(left, x, scan(codes, q, books), part["query_id"].to_numpy(), q, part["floor"].to_numpy(), top, depth))
+            found.append(rerank(left, x, scan(codes, q, books), part["query_id"].to_numpy(), part["query_key"].to_numpy(), q, top, depth))
         return pd.concat(found)
 
     parts = partitions(vectors.sparkSession)
     coded, queries = coded.repartition(parts, "turn", "block"), queries.repartition(parts, "turn", "block")
-    found = coded.groupBy("turn", "block").cogroup(queries.groupBy("turn", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    found = coded.groupBy("turn", "block").cogroup(queries.groupBy("turn", "block")).applyInPandas(search, "query_id long, query_key long, vec_id long, score double, tried long")
+    each = Window.partitionBy("query_id", "query_key")
+    found = found.withColumns({"rank": F.row_number().over(each.orderBy(F.desc("score"), "vec_id")), "n_exact": F.sum("tried").over(each)})
+    return found.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score", "query_key", "n_exact")

@@ -227,7 +227,7 @@ def test_nearest_in_one_block_finds_all(spark, noise):
     x = x.astype(np.float32)
     table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
     asked = [q for q in range(8000) if q % 200 in (0, 1)]
-    got = ann.nearest(table, F.col("vec_id") % 200 < 2, blocks=1).toPandas()
+    got = ann.nearest(table, F.col("vec_id") % 200 < 2, tasks=1).toPandas()
     y = x.astype(np.float64)
     for q in asked:
         s = np.array([float(np.dot(y[q], v)) for v in y])
@@ -236,6 +236,37 @@ def test_nearest_in_one_block_finds_all(spark, noise):
         assert list(own.vec_id) == list(np.lexsort((np.arange(8000), -s))[:20])
 
 
+def test_nearest_by_codes(spark, monkeypatch):
+    """Above the fitting rows: the codes decide. Right codes find nearly all with few exact products; wrong ones lose most."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16_000)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    y = x.astype(np.float64)
+
+    def recall(got):
+        hits = 0
+        for q in range(0, 12_000, 400):
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == q].vec_id))
+        return hits / (30 * 20)
+
+    got = ann.nearest(table, F.col("vec_id") % 400 == 0, tasks=2).toPandas()
+    assert recall(got) >= 0.95 and got.n_exact.mean() < 0.2 * len(x)
+    right = ann.assign
+    monkeypatch.setattr(ann, "residuals", lambda x, codes, books: (np.ones(len(x)), np.zeros(len(x)), np.ones(len(x))))
+    monkeypatch.setattr(ann, "assign", lambda x, books, weight, sweeps=2: right(x[::-1], books, weight, sweeps))
+    assert recall(ann.nearest(table, F.col("vec_id") % 400 == 0, tasks=2).toPandas()) < 0.5
+
+
+def test_nearest_of_repeated_ids(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = ann.nearest(table, F.col("vec_id") == 1).toPandas()
+    lists = sorted([[(r.vec_id, r.score) for r in g.sort_values("rank").itertuples()] for _, g in got.groupby("query_key")])
+    assert lists == [[(1, 4.0), (2, 2.0), (1, 0.0)], [(2, 1.0), (1, 0.0), (1, 0.0)]]
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
