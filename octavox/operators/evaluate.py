@@ -13,6 +13,8 @@ from octavox.functions.ordered import before, ranged
 
 #: Resamples of a bootstrap, and its interval.
 REPLICATES, LOWER, UPPER = 2000, 0.05, 0.95
+#: Arguments of the commands in job lists of molecules.
+ARGUMENTS = {"DCSearch": 4, "NNSearch": 2, "DCSearch2": 3}
 
 
 def by_score(scored: DataFrame) -> DataFrame:
@@ -29,10 +31,10 @@ def roc(scored: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """positives, negatives, auc: wins of positives over negatives, ties count half; integers until the division."""
+    """positives, negatives, auc: wins of positives over negatives, ties count half; integers until the division; null without both classes."""
     s = before(by_score(scored), [F.col("score")], {"below": "n"})
     s = s.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(2 * F.col("p") * F.col("below") + F.col("p") * F.col("n")).alias("twice"))
-    return s.select("positives", "negatives", (F.col("twice") / (2.0 * F.col("positives") * F.col("negatives"))).alias("auc"))
+    return s.select("positives", "negatives", F.try_divide(F.col("twice"), 2.0 * F.col("positives") * F.col("negatives")).alias("auc"))
 
 
 def auc_by(scored: DataFrame, *groups: str) -> DataFrame:
@@ -44,13 +46,15 @@ def auc_by(scored: DataFrame, *groups: str) -> DataFrame:
 
 
 def partial_auc(scored: DataFrame, limits=(0.01, 0.05, 0.1)) -> DataFrame:
-    """fpr_limit, partial, standardised: area up to each false-positive rate, and McClish's scaling of it to 0.5 to 1."""
-    seg = roc(scored).select(((F.col("fp") - F.col("n")) / F.col("ns")).alias("x0"), ((F.col("tp") - F.col("p")) / F.col("ps")).alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    """fpr_limit, partial, standardised: area up to each false-positive rate, and McClish's scaling of it to 0.5 to 1; null without both classes."""
+    seg = roc(scored).select(F.try_divide(F.col("fp") - F.col("n"), "ns").alias("x0"), F.try_divide(F.col("tp") - F.col("p"), "ps").alias("y0"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
     cut = seg.select("*", F.explode(F.array(*[F.lit(float(x)) for x in limits])).alias("fpr_limit")).where("x0 < fpr_limit and x1 > x0")
     end = F.least("x1", "fpr_limit")
     y = F.col("y0") + (F.col("y1") - F.col("y0")) * (end - F.col("x0")) / (F.col("x1") - F.col("x0"))
     area = cut.groupBy("fpr_limit").agg(F.sum((end - F.col("x0")) * (F.col("y0") + y) / 2.0).alias("partial"))
     low, high = F.col("fpr_limit") * F.col("fpr_limit") / 2.0, F.col("fpr_limit")
+    every = scored.sparkSession.createDataFrame([(float(x),) for x in limits], "fpr_limit double")
+    area = every.join(area, "fpr_limit", "left")
     return area.select("fpr_limit", F.round("partial", 10).alias("partial"), F.round(0.5 * (1.0 + (F.col("partial") - low) / (high - low)), 10).alias("standardised"))
 
 
@@ -136,14 +140,30 @@ def table(values: DataFrame, row: str, column: str, value: str, names: list[str]
     return values.groupBy(row).pivot(column, names).agg(F.first(value))
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """part, kind, text, seconds: timing lines of logs (`file`, `line` number, `value`).
+def parse_log(lines: DataFrame, arguments: dict[str, int] = ARGUMENTS) -> DataFrame:
+    """file, line, part, kind, text, trial, seconds: timing lines of logs (`file`, `line` number, `value`).
 
-    A line `# DCPTS n` begins part n of its file; `Batch <job> t1 t2 ...` gives a row for each time.
+    A line `# DCPTS n` begins part n of its file. `Batch <command> <arguments> t1 t2 ...` gives a row for each time; a
+    command has as many arguments as `arguments` says (lists of voxel files give DCSearch three). `Found ... t s ...` gives
+    one of kind Found. The last mark is carried in two passes over ranges of lines, so a file may go over many tasks.
     """
     mark = F.regexp_extract("value", r"^# DCPTS (\d+)", 1)
-    own = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    parts = lines.withColumn("part", F.last(F.when(mark != "", mark.cast("int")), ignorenulls=True).over(own))
-    times: Column = F.filter(F.split(F.regexp_extract("value", r"^Batch .*?((?: [0-9.]+)+)$", 1), " "), lambda t: t != "")
-    timed = parts.where(F.col("value").startswith("Batch ")).select("file", "line", "part", F.regexp_extract("value", r"^Batch (\S+)", 1).alias("kind"), F.regexp_extract("value", r"^Batch (.*?)(?: [0-9.]+)+$", 1).alias("text"), F.posexplode(times).alias("trial", "t"))
-    return timed.select("file", "line", "part", "kind", "text", "trial", F.col("t").cast("double").alias("seconds"))
+    marked = lines.withColumn("_mark", F.when(mark != "", F.struct("file", "line", F.expr("cast(regexp_extract(value, '^# DCPTS (\\\\d+)', 1) as int)").alias("part"))))
+    parts = before(marked, [F.col("file"), F.col("line")], tops={"_last": "_mark"})
+    parts = parts.withColumn("part", F.when(F.col("_last.file") == F.col("file"), F.col("_last.part")))
+    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    known = F.create_map(*[F.lit(x) for pair in arguments.items() for x in pair])
+    batch = parts.where(F.col("value").startswith("Batch ")).withColumn("_w", words).withColumn("_n", F.coalesce(F.try_element_at(known, F.get("_w", F.lit(1))), F.lit(0)))
+    told = F.array_join(F.slice("_w", F.lit(2), F.col("_n") + 1), " ")
+    times = F.slice("_w", F.col("_n") + 3, F.greatest(F.size("_w") - F.col("_n") - 2, F.lit(0)))
+    batch = batch.select("file", "line", "part", F.get("_w", F.lit(1)).alias("kind"), told.alias("text"), F.posexplode(times).alias("trial", "t"))
+    batch = batch.select("file", "line", "part", "kind", "text", "trial", F.expr("try_cast(t as double)").alias("seconds"))
+    taken = F.regexp_extract("value", r"Found.* (\S+) s ", 1)
+    found = parts.where(taken != "").select("file", "line", "part", F.lit("Found").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("trial"), F.expr("try_cast(regexp_extract(value, 'Found.* (\\\\S+) s ', 1) as double)").alias("seconds"))
+    return batch.unionByName(found)
+
+
+def part_times(parsed: DataFrame) -> DataFrame:
+    """part, seconds: what each part's searches took, the last `Found` time of every file that has the part."""
+    last = parsed.where("kind = 'Found'").groupBy("file", "part").agg(F.max_by("seconds", "line").alias("seconds"))
+    return last.groupBy("part").agg(F.sum("seconds").alias("seconds"))

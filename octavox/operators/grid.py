@@ -203,3 +203,34 @@ def occupied_by_depth(words: DataFrame, levels: int) -> DataFrame:
     fine = words.groupBy("shape_id").agg(F.sum(F.bit_count("bits")).cast("long").alias("v"), F.sum(octants).cast("long").alias("o"), F.count("*").alias("b"), *[F.count_distinct(F.shiftright("block", 3 * (levels - 2 - d))).alias(f"d{d}") for d in range(levels - 2)])
     depths = [*[(d, F.col(f"d{d}")) for d in range(levels - 2)], (levels - 2, F.col("b")), (levels - 1, F.col("o")), (levels, F.col("v"))]
     return fine.select("shape_id", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), n.cast("long").alias("n")) for d, n in depths])).alias("e")).select("shape_id", "e.*")
+
+
+def truncated(words: DataFrame, levels: int, cut: int, fill: bool) -> DataFrame:
+    """shape_id, block, bits after the octree is cut at cubes of `cut` (a power of two) cells a side.
+
+    The octree ends where the eighths of a cube are all full or empty. A cube of that side that the octree divides
+    further, or that ends with a cube of just that side, becomes full if it holds a voxel (`fill`) or else empty, even if it
+    is full; so without `fill` a full cube stays only where all eighths of the cube above are full or empty. The whole
+    grid is such a cube itself. Cubes of up to one word are cut in their row; larger ones are counted up from words.
+    """
+    step = cut.bit_length() - 1
+    if step == 0:
+        return words.select("shape_id", "block", "bits")
+    if step == 1:
+        octants = [F.shiftrightunsigned("bits", 8 * o).bitwiseAND(F.lit(255)) for o in range(8)]
+        whole = F.forall(F.array(*octants), lambda o: o.isin(0, 255))
+        filled = F.aggregate(F.array(*[F.when(o != 0, F.lit((255 << (8 * k)) - ((1 << 64) if k == 7 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for k, o in enumerate(octants)]), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+        kept = filled if fill else F.when(whole & (levels > 1), F.col("bits")).otherwise(F.lit(0).cast("long"))
+        return words.select("shape_id", "block", kept.alias("bits")).where("bits <> 0")
+    inner = 3 * (step - 2)
+    cube = F.shiftright("block", inner)
+    cubes = words.where("bits <> 0").groupBy("shape_id", cube.alias("cube")).agg(F.count_if(F.col("bits") == -1).alias("full"))
+    blocks = lambda c: F.explode(F.sequence(F.shiftleft(c, inner), F.shiftleft(c, inner) + F.lit((1 << inner) - 1)))
+    if fill:
+        out = cubes.select("shape_id", blocks(F.col("cube").cast("long")).alias("block"))
+    elif step >= levels:
+        return words.select("shape_id", "block", "bits").where(F.lit(False))
+    else:
+        above = cubes.groupBy("shape_id", F.shiftright("cube", 3).alias("above")).agg(F.collect_list("cube").alias("cubes"), F.min("full").alias("least"))
+        out = above.where(F.col("least") == 1 << inner).select("shape_id", F.explode("cubes").alias("cube")).select("shape_id", blocks(F.col("cube").cast("long")).alias("block"))
+    return out.select("shape_id", "block", F.lit(-1).cast("long").alias("bits"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from octavox.functions.ordered import before
-from octavox.operators import clusters, database, evaluate, geometry, index, molecules, packers, rounding, search
+from octavox.operators import clusters, database, evaluate, geometry, grid, index, molecules, packers, rounding, search
 from octavox.sources import files, shapes
 
 
@@ -262,9 +262,87 @@ def test_jobs_and_lines(spark):
     hits = spark.createDataFrame([("t", 1, 1 / 3)], "title string, rank int, score double")
     assert files.score_lines(hits).first()["value"] == "t\t0.333333333333"
     assert files.ranked_lines(hits, "title").first()["value"] == "1\tt\t0.333333333333"
-    log = [("f", 1, "# DCPTS 2"), ("f", 2, "Batch DCSearch a b 1 0.5 0.25"), ("f", 3, "noise"), ("f", 4, "# DCPTS 3"), ("f", 5, "Batch NNSearch q 1.5")]
-    got = evaluate.parse_log(spark.createDataFrame(log, "file string, line int, value string")).collect()
-    assert [(r["part"], r["kind"], r["seconds"]) for r in got][-1] == (3, "NNSearch", 1.5) and {r["part"] for r in got} == {2, 3}
+
+
+def test_verbose_logs(spark):
+    """Arguments are not times; marks carry over ranges of lines, within their file; the last Found time of a file counts."""
+    log = ["Found 9 objects out of 9 in 7.5 s with 1 checks", "# DCPTS 2", "Batch NNSearch q 5 0.25 0.5", "Batch DCSearch l r 1 2 0.5", "noise", "Found 3 objects out of 10 in 0.25 s (0.1 objload) with 3 checks", " level 0: 1 1", "Found 3 objects out of 10 in 0.5 s (0.1 objload) with 3 checks"]
+    log += ["# DCPTS 3", *["x"] * 40, "Found 1 objects out of 10 in 2 s with 3 checks", "Batch Other 1"]
+    lines = [(f, i, v) for f in ("a", "b") for i, v in enumerate(log)] + [("c", 0, "Batch NNSearch q 5 1.5")]
+    table = spark.createDataFrame(lines, "file string, line int, value string").repartition(7)
+    got = sorted((r["line"], r["part"], r["kind"], r["text"], r["trial"], r["seconds"]) for r in evaluate.parse_log(table).where("file = 'b' and kind <> 'Found'").collect())
+    assert got == [(2, 2, "NNSearch", "NNSearch q 5", 0, 0.25), (2, 2, "NNSearch", "NNSearch q 5", 1, 0.5), (3, 2, "DCSearch", "DCSearch l r 1 2", 0, 0.5), (50, 3, "Other", "Other", 0, 1.0)]
+    assert evaluate.parse_log(table).where("file = 'c'").first()["part"] is None
+    assert {r["part"]: r["seconds"] for r in evaluate.part_times(evaluate.parse_log(table)).collect()} == {None: 15.0, 2: 1.0, 3: 4.0}
+
+
+def test_one_class(spark):
+    scored = spark.createDataFrame([(1.0, True), (2.0, True)], "score double, positive boolean")
+    assert evaluate.auc(scored).first()["auc"] is None
+    assert {(r["fpr_limit"], r["partial"]) for r in evaluate.partial_auc(scored).collect()} == {(0.01, None), (0.05, None), (0.1, None)}
+
+
+def test_unknown_elements_have_no_weight(spark):
+    mol = spark.createDataFrame([(1, [("C",), ("Xx",)]), (2, [("C",), ("Fe",)])], "shape_id long, atoms array<struct<element: string>>")
+    assert {r["shape_id"]: r["weight"] for r in molecules.weight(mol).collect()} == {1: None, 2: pytest.approx(12.011 + 55.845)}
+
+
+def test_databases_keep_empty_shapes_and_refuse_foreign_files(spark, tmp_path):
+    objects = spark.createDataFrame([(1, "full"), (2, "empty")], "shape_id long, title string")
+    words = spark.createDataFrame([(1, 0, 7)], "shape_id long, block long, bits long")
+    database.create(objects, words, str(tmp_path / "db"), 4.0, 1.0)
+    own = database.load(spark, str(tmp_path / "db"))[1]
+    near = sorted((r["object_id"], r["dist"]) for r in database.nearest(own.where("shape_id = 1"), own, 0).collect())
+    assert near == [(1, 0.0), (2, 1.0)]
+    none = own.where("shape_id = 2").withColumn("shape_id", F.lit(9).cast("long"))
+    big = spark.createDataFrame([(9, 0, 3)], "shape_id long, block long, bits long")
+    assert [tuple(r) for r in database.constrained(none, own, big).collect()] == [(9, 2)]
+    assert {r["object_id"] for r in database.constrained(none, own).collect()} == {1, 2}
+    cube = lambda side: spark.createDataFrame([(side, 0, 1)], "shape_id long, block long, bits long")
+    for name, levels, resolution in (("same", 2, 0.5), ("coarse", 2, 2.0), ("large", 3, 0.5)):
+        (tmp_path / name).mkdir()
+        for file, lv, res in {("a", 2, 0.5), (name, levels, resolution)}:
+            (tmp_path / name / f"{file}.mira").write_bytes(bytes(files.to_voxel_files(cube(1), lv, res).first()["content"]))
+        if name == "same":
+            database.create_from_voxel_files(spark, str(tmp_path / name), str(tmp_path / "ok"), 2.0, 0.5)
+        else:
+            with pytest.raises(ValueError):
+                database.create_from_voxel_files(spark, str(tmp_path / name), str(tmp_path / f"bad_{name}"), 2.0, 0.5)
+
+
+def test_truncation_follows_the_octree(spark):
+    """Against a recursion over cubes of cells, at every cut and in both modes."""
+    rng = np.random.default_rng(8)
+    shapes_ = [rng.random((16, 16, 16)) < 0.02, np.ones((16, 16, 16), bool), np.zeros((16, 16, 16), bool)]
+    mixed = np.zeros((16, 16, 16), bool)
+    mixed[:8, :8, :8], mixed[8:12, :4, :4], mixed[8:10, 8:10, 8:10], mixed[0:2, 8:12, 8:10], mixed[15, 15, 15] = True, True, True, True, True
+    shapes_ += [mixed, ~mixed]
+
+    def cut_at(cube, cut, fill):
+        side = len(cube)
+        if side <= cut:
+            return np.full_like(cube, fill and cube.any())
+        half = side // 2
+        eighths = [(slice(x, x + half), slice(y, y + half), slice(z, z + half)) for x in (0, half) for y in (0, half) for z in (0, half)]
+        if all(cube[e].all() or not cube[e].any() for e in eighths):
+            return cube
+        out = cube.copy()
+        for e in eighths:
+            out[e] = cut_at(cube[e], cut, fill)
+        return out
+
+    def words_of(cube):
+        out = {}
+        for x, y, z in np.argwhere(cube).tolist():
+            code = sum((x >> b & 1) << 3 * b | (y >> b & 1) << 3 * b + 1 | (z >> b & 1) << 3 * b + 2 for b in range(4))
+            out[code >> 6] = out.get(code >> 6, 0) | 1 << (code & 63)
+        return {k: v - (1 << 64) if v >> 63 else v for k, v in out.items()}
+
+    table = spark.createDataFrame([(i, b, w) for i, c in enumerate(shapes_) for b, w in words_of(c).items()], "shape_id long, block long, bits long")
+    for cut in (1, 2, 4, 8, 16):
+        for fill in (False, True):
+            got = {(r["shape_id"], r["block"]): r["bits"] for r in grid.truncated(table, 4, cut, fill).collect()}
+            assert got == {(i, b): w for i, c in enumerate(shapes_) for b, w in words_of(cut_at(c, cut, fill)).items()}, (cut, fill)
 
 
 def test_running_sums_over_ranges(spark):

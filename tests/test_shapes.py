@@ -152,13 +152,15 @@ def test_files(spark, tmp_path):
     back = files.read_voxel_files(spark, str(tmp_path))
     assert {(r["side"], r["resolution"]) for r in back.collect()} == {(4, 0.5)}
     assert sorted(sum(bin(w["bits"] & (1 << 64) - 1).count("1") for w in r["words"]) for r in back.collect()) == [1, 8, 32, 64]
-    text = {r["shape_id"]: r["value"] for r in files.to_grid_text(words, 2).collect()}
-    assert text[1].split("\n")[5] == "0 1 0 0" and sum(map(int, text[2].split())) == 8
+    text = {r["title"]: bytes(r["content"]).decode().split("\n") for r in files.export(words, 2, 0.5, ".grid").collect()}
+    cells = {t: sum(map(int, " ".join(lines[4:]).split())) for t, lines in text.items()}
+    assert sorted(cells.values()) == [1, 8, 32, 64] and text["1"][:4] == ["header", "4 4 4", "-1 -1 -1", "0.5 0.5 0.5"]
     mol = spark.createDataFrame([("a b", [(1.5, -2.0, 0.25, "Cl"), (0.0, 0.0, 10.0, "C")], [(1, 2, 1)], 0.75)], "title string, atoms array<struct<x: double, y: double, z: double, element: string>>, bonds array<struct<a: int, b: int, kind: int>>, score double")
     made = files.to_structures(mol, "score")
     (tmp_path / "m.sdf").write_text("".join(r["value"] + "$$$$\n" for r in made.collect()) * 2 + "junk\n$$$$\n")
     read = files.read_structures(spark, str(tmp_path / "m.sdf")).collect()
-    assert len(read) == 2 and all((r["title"], r["atoms"], r["bonds"]) == (mol.first()["title"], mol.first()["atoms"], mol.first()["bonds"]) for r in read)
+    want = mol.first()
+    assert len(read) == 2 and all((r["title"], [tuple(a)[:4] for a in r["atoms"]], r["bonds"], r["props"]["score"]) == (want["title"], [tuple(a) for a in want["atoms"]], want["bonds"], "0.75") for r in read)
 
 
 def test_clusters_take_all_members(spark, monkeypatch):
