@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from octavox.functions import morton
 from octavox.functions import words as w
 from octavox.functions.ordered import checkpointed
 
@@ -234,3 +235,39 @@ def truncated(words: DataFrame, levels: int, cut: int, fill: bool) -> DataFrame:
         above = cubes.groupBy("shape_id", F.shiftright("cube", 3).alias("above")).agg(F.collect_list("cube").alias("cubes"), F.min("full").alias("least"))
         out = above.where(F.col("least") == 1 << inner).select("shape_id", F.explode("cubes").alias("cube")).select("shape_id", blocks(F.col("cube").cast("long")).alias("block"))
     return out.select("shape_id", "block", F.lit(-1).cast("long").alias("bits"))
+
+
+def ball_chords(radius: float) -> list[tuple[int, int, int, int]]:
+    """x, y, lowest and highest z, from a cell's own, of the cells of a ball (radius in cells) around a cell's centre, chord by chord."""
+    out = []
+    for i in range(-math.floor(radius), math.floor(radius) + 1):
+        across = math.sqrt(max(0.0, radius * radius - i * i))
+        for j in range(-math.floor(across), math.floor(across) + 1):
+            half = math.sqrt(max(0.0, across * across - j * j))
+            out.append((i, j, math.floor(0.5 - half), math.floor(0.5 + half)))
+    return out
+
+
+def dilated(words: DataFrame, levels: int, radius: float) -> DataFrame:
+    """Cells within a ball (radius in cells) around any cell, drawn chord by chord; a chord that leaves the grid is left out.
+
+    Cells of one shape that many balls reach are joined into words before they are shuffled.
+    """
+    side = 1 << levels
+    cells = words.select("shape_id", F.col("block").cast("long").alias("block"), F.explode(w.cells("bits")).alias("c"))
+    x, y, z = morton.decode(F.col("block") * 64 + F.col("c"), levels)
+    chords = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "j", "a", "b"), c, strict=True)]) for c in ball_chords(radius)])
+    drawn = cells.select("shape_id", x.alias("x"), y.alias("y"), z.alias("z"), F.explode(chords).alias("o"))
+    drawn = drawn.select("shape_id", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), (F.col("z") + F.col("o.a")).alias("low"), (F.col("z") + F.col("o.b")).alias("high"))
+    drawn = drawn.where(f"x between 0 and {side - 1} and y between 0 and {side - 1} and low >= 0 and high < {side}")
+    coded = drawn.select("shape_id", "x", "y", F.explode(F.sequence("low", "high")).alias("z")).select("shape_id", morton.encode(F.col("x"), F.col("y"), F.col("z"), levels).alias("code"))
+    return coded.groupBy("shape_id", F.shiftright("code", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, code & 63))").alias("bits"))
+
+
+def surface(words: DataFrame, levels: int, probe: float) -> DataFrame:
+    """The solvent-excluded shape from the solvent-accessible one: what no probe (radius in cells) around the rim's cells reaches.
+
+    The rim is what a step of shrinking takes off, without cells whose neighbours all are set.
+    """
+    rim = combine(combine(words, shrink(words, levels), "minus"), interior(words, levels), "minus")
+    return combine(words, dilated(rim, levels, probe), "minus")
