@@ -264,6 +264,31 @@ def test_jobs_and_lines(spark):
     assert files.ranked_lines(hits, "title").first()["value"] == "1\tt\t0.333333333333"
 
 
+def test_pivots_are_chosen_farthest_first(spark):
+    rng = random.Random(17)
+    data = [(i, rng.getrandbits(63) & rng.getrandbits(63)) for i in range(3, 200)] + [(500, 0), (501, 0)]
+    far = lambda a, b: 1.0 - (a & b).bit_count() / (a | b).bit_count() if a | b else 0.0
+    want = [data[0][1]]
+    while len(want) < 12:
+        want.append(min((-min(far(b, p) for p in want), i, b) for i, b in data)[2])
+    table = spark.createDataFrame(data, "shape_id long, bits long").repartition(4)
+    assert clusters.farthest_first(table, 12) == want
+    assert clusters.farthest_first(table.where("shape_id >= 500"), 12) == [0] and clusters.farthest_first(table.limit(0), 12) == []
+
+
+def test_rounds_of_descent_get_smaller(spark):
+    """Near groups and noise: old acquaintances are not joined again, and nearly all neighbours are found."""
+    rng = random.Random(18)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    data = [(i, base[i % 60] ^ sum(1 << rng.randrange(63) for _ in range(3)) if i % 3 else rng.getrandbits(63)) for i in range(1500)]
+    table = spark.createDataFrame([(i, b & (1 << 63) - 1) for i, b in data], "shape_id long, bits long")
+    joined = []
+    got = clusters.knn_descent(table, 6, joined=joined).toPandas()
+    exact = clusters.knn(table, 6).toPandas()
+    assert joined[-1] < 0.5 * joined[0] and len(joined) >= 2
+    assert len(got) == len(exact) and len(got.merge(exact, on=["src", "dst"])) >= 0.95 * len(exact)
+
+
 def test_verbose_logs(spark):
     """Arguments are not times; marks carry over ranges of lines, within their file; the last Found time of a file counts."""
     log = ["Found 9 objects out of 9 in 7.5 s with 1 checks", "# DCPTS 2", "Batch NNSearch q 5 0.25 0.5", "Batch DCSearch l r 1 2 0.5", "noise", "Found 3 objects out of 10 in 0.25 s (0.1 objload) with 3 checks", " level 0: 1 1", "Found 3 objects out of 10 in 0.5 s (0.1 objload) with 3 checks"]
