@@ -335,6 +335,39 @@ def test_minhash_matches_brute_force(spark, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_shingles_against_sets(monkeypatch):
+    """Common shingles of two texts against sets of tuples; hashes don't depend on the bytes that are summed at a time."""
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "A", "a b", "a  b\tc d e", "x " * 50, " Ä ß\u00a0z \n q q q q q q", "w" * 300 + " v"]
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 6, n)) for n in (5, 40, 400, 400)]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    for width in (1, 4, 5):
+        sets = [shingles(t, width) for t in texts]
+        held = [minhash.Shingles(x, width) for x in raw]
+        assert [len(x) for x in held] == [len(x) for x in sets]
+        for a, x in zip(sets, held, strict=True):
+            assert [x.common(y) for y in held] == [len(a & b) for b in sets]
+        # Equal hashes of unequal spans don't count.
+        a, b = minhash.Shingles(np.frombuffer(b"a b c d e f", np.uint8), width), minhash.Shingles(np.frombuffer(b"a b c d e g", np.uint8), width)
+        b.hashes, b.place = a.hashes, a.place
+        assert a.common(b) == len(shingles("a b c d e f", width) & shingles("a b c d e g", width))
+    data, at = np.concatenate(raw), np.cumsum([0, *map(len, raw)])
+    want = minhash.shingle_hashes(data, at, 4)
+    for size in (7, 64):
+        monkeypatch.setattr(minhash, "PIECE_BYTES", size)
+        assert all((x == y).all() for x, y in zip(want, minhash.shingle_hashes(data, at, 4), strict=True))
+
+
+def test_minhash_confirms_equal_fingerprints(spark):
+    """Under one fingerprint, words in another order with the same set stay; another set is set apart."""
+    documents = spark.createDataFrame([(1, "a b a b a b"), (2, "b a b a b a b a"), (3, "c d e f g"), (4, "A  b a b a b"), (5, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, b"m", b"1"), (2, b"m", b"2"), (3, b"m", b"3"), (4, b"m", b"1"), (5, b"n", b"5")], "doc_id long, mark binary, words binary")
+    found, n = minhash._apart(rows, documents, 4)
+    assert (n, [bytes(r["words"]) for r in found.collect()]) == (1, [b"3"])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents, 4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+
+
 def test_minhash_repeated_ids(spark):
     """Rows of one id are one document, of the least text; each row gets the result."""
     a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
