@@ -1,7 +1,9 @@
 import hashlib
 import math
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -375,6 +377,25 @@ def test_minhash_repeated_ids(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (2, 2), (3, 2), (4, 4), (4, 4)]
 
 
+def test_minhash_lets_go_of_earlier_steps(spark):
+    """Most shuffles of a run are gone at its end, though nothing else fills the driver's heap."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[k % 7 :] + [f"x{k // 2}"]) for k in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(spark.conf.get("spark.local.dir"))
+    held = lambda: {int(p.name.split("_")[1]) for p in folder.rglob("shuffle_*_*_0.data")}
+    documents.groupBy("text").count().collect()
+    before = max(held())
+    assert minhash.near_duplicates(documents, 4).count() == 60
+    made, left = max(held()) - before, 0
+    for _ in range(50):  # the cleaner works beside us
+        left = sum(k > before for k in held())
+        if 2 * left < made:
+            break
+        time.sleep(0.1)
+    assert made > 20 and 2 * left < made
+
+
 def test_mixing_rates_match_a_dual(spark):
     """Rates against a plain solution of the dual, copies within one of them, targets of many sources."""
     import random
