@@ -236,3 +236,11 @@ def test_interaction_points_of_many_ligands(spark, strict):
                 k += 1
     assert sorted(map(tuple, met.collect())) == want and len(want) > 10
     assert "Grouped" not in met._jdf.queryExecution().executedPlan().toString() and "FlatMapGroups" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["auc_table", "shape_diff", "nn_small_big", "metric_abs_volume", "nn_threshold", "contains"])
+def test_pairs_stay_where_they_are_made(spark, name):
+    """Pairs of words are plain arithmetic, without lambdas, and aren't joined with their ends again, nor made unique, by a shuffle."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_entries" not in plan
+    assert plan.count("Join") == 1 and "explode(ranks" not in plan
